@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "docstrand.shipped"
@@ -52,7 +53,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20
         n = batch.num_rows
         if n == 0:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i in range(n):
             total += int(sizes[i]) + 16
