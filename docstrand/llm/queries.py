@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrand.llm.op3_bpe import op3_bpe
+from docstrand.llm import op4_urls
+from docstrand.llm.op10_quality import op10_quality
+from docstrand.llm.op5_minhash import op5_minhash
 from docstrand.llm.op6_token_counts import op6_token_counts
+from docstrand.llm.op7_bestfit import op7_best_fit
+from docstrand.llm.op8_language import op8_language
 from docstrand.llm.op9_packing import op9_power_of_two
 
 
@@ -18,10 +23,15 @@ def _on(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": _on("documents", op3_bpe),
+        "op4_host_reputation": lambda spark, d: op4_urls.op4_host_reputation(spark.read.parquet(f"{d}/pages.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
+        "op5_minhash": _on("documents", op5_minhash),
         "op6_token_counts": _on("documents", op6_token_counts),
+        "op7_best_fit": _on("documents", op7_best_fit),
+        "op8_language": _on("documents", op8_language),
         "op9_power_of_two": _on("documents", op9_power_of_two),
+        "op10_quality": lambda spark, d: op10_quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_host_reputation": op4_urls.oracle()}
