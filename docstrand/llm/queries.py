@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrand.llm.op3_bpe import op3_bpe
 from docstrand.llm import op4_urls
+from docstrand.llm.op1_ann import op1_cross_polytope
+from docstrand.llm.op2_vector_dedup import op2_sorted_passes
 from docstrand.llm.op10_quality import op10_quality
 from docstrand.llm.op5_minhash import op5_minhash
 from docstrand.llm.op6_token_counts import op6_token_counts
@@ -22,6 +24,8 @@ def _on(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cross_polytope": _on("embeddings", op1_cross_polytope),
+        "op2_sorted_passes": _on("embeddings", op2_sorted_passes),
         "op3_bpe": _on("documents", op3_bpe),
         "op4_host_reputation": lambda spark, d: op4_urls.op4_host_reputation(spark.read.parquet(f"{d}/pages.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
         "op5_minhash": _on("documents", op5_minhash),
