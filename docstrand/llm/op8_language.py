@@ -98,8 +98,8 @@ def train_profiles(labelled: DataFrame, most: int = 300) -> dict[str, list[int]]
     return profiles
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], most: int = 300) -> DataFrame:
-    """The rows of `docs` (which must have doc_id and text; all columns stay) with lang_pred and score.
+def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], most: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of `docs` (which must have text; its columns stay, but for two of these names) with lang_pred and score.
 
     The distance of a text to a profile is the sum, over the text's most frequent n-grams, of how far the n-gram's rank
     is from its rank in the profile, or `most` where the profile lacks it. The least distance wins, ties to the smaller
@@ -109,17 +109,16 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], most: int
     ship(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    names = sorted(profiles)
-    # output columns follow the input's, which may hold the same names already
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = StructType([docs.schema[c] for c in kept] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    langs = sorted(profiles)
+    kept = [c for c in docs.columns if c not in names]
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     codes = np.array(sorted({c for p in profiles.values() for c in p}), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, len(codes), np.int32)
         place[codes] = np.arange(len(codes))
-        rank_of = np.full((len(names), len(codes) + 1), 1 << 20, np.int32)
-        for i, x in enumerate(names):
+        rank_of = np.full((len(langs), len(codes) + 1), 1 << 20, np.int32)
+        for i, x in enumerate(langs):
             rank_of[i, place[np.array(profiles[x], np.int64)]] = np.arange(len(profiles[x]))
         for b in pieces_of(batches, "text"):
             n = b.num_rows
@@ -127,15 +126,15 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], most: int
             total = np.bincount(d, minlength=n)
             best, which = np.full(n, np.inf), np.full(n, -1)
             at = place[c]
-            for i in range(len(names)):
+            for i in range(len(langs)):
                 away = np.abs(rank_of[i, at] - r)
                 dist = np.bincount(d, weights=np.where(away > most, most, away), minlength=n)
                 better = (dist < best) & (total > 0)
                 best[better], which[better] = dist[better], i
             found = which >= 0
             score = np.where(found, 1 - np.where(found, best, 0) / (most * np.maximum(total, 1)), 0.0)
-            langs = [names[w] if w >= 0 else "und" for w in which]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema.fields])
+            pred = [langs[w] if w >= 0 else "und" for w in which]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema.fields])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
