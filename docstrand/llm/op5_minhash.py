@@ -17,10 +17,10 @@ from docstrand.llm.hashing import shingles, words
 #: Coordinates of a signature, and how many of them a retained pair must share. At a similarity of 0.75 a pair shares
 #: 24 +- 2.4 of 32; it shares fewer than 14 with a probability of about 2 in 100,000.
 COORDINATES, MATCHES = 32, 14
-#: A pair that shares MATCHES coordinates shares one of the first PREFIX.
+#: A pair that shares MATCHES coordinates shares one of the first PREFIX of both, in any one order of all coordinate values.
 PREFIX = COORDINATES - MATCHES + 1
-#: Posting lists of more documents are divided by a further shared coordinate before pairs are made.
-LIST = 64
+#: Members of a posting list that one task holds together, with their sets.
+BLOCK = 512
 #: Bytes up to which a table of ids may be broadcast.
 BROADCAST = 32 << 20
 
@@ -30,7 +30,7 @@ _B = _RANDOM.integers(0, 2**64, COORDINATES, np.uint64)
 
 
 def signatures(docs: DataFrame, words_in_a_row: int = 5) -> DataFrame:
-    """doc_id, n_shingles, print (16 bytes: equal for equal sets; null for an empty one), sig (32-bit coordinates)."""
+    """doc_id, n_shingles, print (16 bytes: equal for equal sets; null for an empty one), sig (COORDINATES 32-bit values)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,23 +38,35 @@ def signatures(docs: DataFrame, words_in_a_row: int = 5) -> DataFrame:
             flat, at = shingles(*words(b.column("text").to_pylist()), b.num_rows, words_in_a_row)
             n = np.diff(at)
             full = np.flatnonzero(n)
-            sig = np.zeros((b.num_rows, COORDINATES), "<u4")
+            sig = np.zeros((b.num_rows, COORDINATES), np.uint32)
             if len(full):
                 for k in range(COORDINATES):
                     sig[full, k] = np.minimum.reduceat((flat * _A[k] + _B[k]) >> np.uint64(32), at[full])
             prints = [hashlib.blake2b(flat[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(at[:-1], at[1:])]
-            sigs = [x.tobytes() if k else None for x, k in zip(sig, n)]
+            sigs = [x if k else None for x, k in zip(sig.view(np.int32), n)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"]
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "print", "sig"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, sig array<int>")
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """A row (list, at, doc) for each of a representative's first PREFIX coordinates: list names coordinate and value."""
-    value = F.conv(F.hex(F.substring("sig", 4 * F.col("at") + 1, 4)), 16, 10).cast("long")
-    return reps.select("doc", "sig", F.explode(F.sequence(F.lit(0), F.lit(PREFIX - 1))).alias("at")).select(F.xxhash64("at", value).alias("list"), "at", "doc")
+def ordered(reps: DataFrame) -> DataFrame:
+    """doc, tokens, prefix: the coordinate values that a representative shares with others, the rarest first, and how
+    many of them are among its first PREFIX.
+
+    Its other values are rarer still, so they come before these and use up places. A document with PREFIX values of its
+    own is in no pair and is left out; that is most documents, also of those that share a common passage.
+    """
+    tokens = reps.select("doc", F.posexplode("sig").alias("at", "value")).select("doc", F.xxhash64("at", "value").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    of = tokens.join(shared, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "token")))["token"].alias("tokens"))
+    return of.withColumn("prefix", F.size("tokens") - (COORDINATES - PREFIX)).where("prefix > 0")
+
+
+def postings(places: DataFrame) -> DataFrame:
+    """A row (list, at, doc) for each coordinate value in a document's prefix."""
+    return places.select("doc", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "list")).select("list", "at", "doc")
 
 
 def matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -65,19 +77,17 @@ def matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                one, two = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
+                one, two = (x.column(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
                 yield x.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, words_in_a_row: int, percent: int) -> DataFrame:
-    """Those of the (checkpointed) pairs whose full shingle sets meet the threshold.
+def sets_of(docs: DataFrame, ids: DataFrame, words_in_a_row: int) -> DataFrame:
+    """doc_id, members (the sorted 64-bit hashes of its full shingle set) of the documents with these (checkpointed) ids.
 
-    Only the documents that occur in pairs are read for it. Their ids are broadcast if they take BROADCAST bytes at
-    most, else joined by a shuffle.
+    The ids are broadcast if they take BROADCAST bytes at most, else joined by a shuffle.
     """
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     small = ids.count() * 16 <= BROADCAST
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("doc_id", "text")
 
@@ -87,42 +97,93 @@ def linked(pairs: DataFrame, docs: DataFrame, words_in_a_row: int, percent: int)
             own = [flat[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "members"])
 
+    return texts.mapInArrow(sets, "doc_id long, members binary")
+
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet the threshold; sizes alone may rule it out."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def linked(pairs: DataFrame, docs: DataFrame, words_in_a_row: int, percent: int) -> DataFrame:
+    """Those of the (checkpointed) pairs (a, b) whose full shingle sets meet the threshold."""
+    members = sets_of(docs, cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), words_in_a_row)
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = []
-            for one, two in zip(x.column("set_a"), x.column("set_b")):
-                p, q = (np.frombuffer(y.as_buffer(), np.uint64) for y in (one, two))
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+            keep = [alike(*(np.frombuffer(y.as_buffer(), np.uint64) for y in both), percent) for both in zip(x.column("set_a"), x.column("set_b"))]
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    members = texts.mapInArrow(sets, "doc_id long, members binary")
     both = pairs.join(members.toDF("a", "set_a"), "a").join(members.toDF("b", "set_b"), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
 
 
-def divided(lists: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of long lists, posted again under each later coordinate that they may share next."""
-    value = F.conv(F.hex(F.substring("sig", 4 * F.col("next") + 1, 4)), 16, 10).cast("long")
-    wide = lists.join(reps.select("doc", "sig"), "doc")
-    return wide.select("list", "depth", "doc", "component", "sig", F.explode(F.sequence(F.col("at") + 1, F.col("depth") + PREFIX)).alias("next")).select(
-        F.xxhash64("list", "next", value).alias("list"), F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"), "doc", "component"
-    )
+def merged(table: pa.Table, percent: int, first_only: bool) -> pa.Table:
+    """Links between the components of one list's members (or of two blocks of them) that hold confirmed pairs.
+
+    A pair is looked at if enough coordinates match, if its components haven't met here yet, and, when first_only, if
+    this list's value is the first that both prefixes share, as it would come up again in each other list they share.
+    """
+    table = table.sort_by("doc")
+    doc, component, block = (table[c].to_numpy() for c in ("doc", "component", "block"))
+    sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(doc), COORDINATES)
+    members = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
+    prefixes = [t[:k] for t, k in zip(table["tokens"].to_pylist(), table["prefix"].to_pylist())]
+    own, within = table["list"][0].as_py(), table["i"][0].as_py() == table["j"][0].as_py()
+    sets = [set(t) for t in prefixes]
+    root = {int(c): int(c) for c in component}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for y in range(len(doc) - 1):
+        matches = (sig[y + 1 :] == sig[y]).sum(axis=1)
+        possible = (matches >= MATCHES) & (component[y + 1 :] != component[y])
+        if not within:
+            possible &= block[y + 1 :] != block[y]
+        for k in np.flatnonzero(possible)[np.argsort(-matches[possible], kind="stable")]:
+            x = y + 1 + int(k)
+            one, two = find(int(component[y])), find(int(component[x]))
+            if one == two or first_only and next(t for t in prefixes[y] if t in sets[x]) != own:
+                continue
+            if alike(members[y], members[x], percent):
+                root[max(one, two)] = min(one, two)
+                out.append((int(doc[x]), int(doc[y])))
+    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+
+def list_links(lists: DataFrame, n: DataFrame, places: DataFrame, reps: DataFrame, docs: DataFrame, words_in_a_row: int, percent: int, first_only: bool) -> DataFrame:
+    """Confirmed links (a, b) between different components that meet in a list (rows list, doc, component) of the lists
+    in n (list, n). A list of more than BLOCK members is compared in pairs of blocks."""
+    rows = cut(lists.join(n, "list").select("list", "n", "doc", "component"))
+    members = sets_of(docs, cut(rows.select(F.col("doc").alias("doc_id")).distinct()), words_in_a_row).withColumnRenamed("doc_id", "doc")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = rows.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("list", "doc", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = members.join(reps.select("doc", "sig"), "doc").join(places, "doc")
+    return spread.join(full, "doc").groupBy("list", "i", "j").applyInArrow(lambda t: merged(t, percent, first_only), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_in_a_row: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
-    Documents with equal shingle sets are one representative (the smallest doc_id) from the start. Representatives are
-    posted under the first PREFIX coordinates of their signatures, the only ones among which a pair with enough matches
-    must meet. First every member of a list is paired with the list's smallest member; the pairs with MATCHES shared
-    coordinates are confirmed on the full sets and joined into components. What is left are pairs of one list in
-    different components. Lists of up to LIST members are joined with themselves; longer ones are divided by the next
-    coordinate that two members share, again and again, and what lies in one component is dropped at each step, so a
-    large group of copies or a common passage never makes all its pairs. A pair comes only from the first lists it
-    shares on that way; the distinct ones are confirmed like before.
+    Documents with equal shingle sets are one representative (the smallest doc_id) from the start. The coordinate values
+    of all signatures are ordered by how many representatives have them; each is posted under the first PREFIX of its
+    own, the only ones among which a pair with enough matches must meet. First every member of a list is paired with the
+    list's smallest member; the pairs with MATCHES shared coordinates are confirmed on the full sets and united into
+    components. What is left to find are pairs of one list in different components, so lists that lie in one component,
+    as those of near copies mostly do, are dropped. The others are brought together with their members' sets, in blocks,
+    and pairs that match and are not yet connected are confirmed there: first in the longest list of each smallest
+    member, then, with the components that this leaves, in all. No pair with enough matches is skipped unless its
+    documents are connected already.
 
     Null doc_id: linked with nothing, component null, kept. Null or blank text: n_shingles 0, linked with nothing.
     Repeated rows with one doc_id are one document in the linking and a row each in the result; if their texts differ,
@@ -133,30 +194,22 @@ def near_duplicates(docs: DataFrame, words_in_a_row: int = 5, percent: int = 75)
     prints = rows.where("print is not null and doc_id is not null")
     groups = prints.groupBy("print").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"))
     reps = cut(groups.groupBy("doc").agg(F.min("print").alias("print"), F.min("sig").alias("sig")))
-    posts = postings(reps)
+    places = cut(ordered(reps))
+    posts = postings(places)
     lists = posts.groupBy("list").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
     posted = cut(posts.join(lists, "list").select("list", "at", "doc", "first"))
 
     star = posted.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
     links = cut(linked(cut(matching(star, reps)), docs, words_in_a_row, percent))
-    found = cut(components(links))
-
-    of = posted.join(found, posted["doc"] == found["id"], "left").select("list", "at", F.lit(0).alias("depth"), "doc", F.coalesce("component", "doc").alias("component"))
-    pairs = None
-    for depth in range(MATCHES):
-        sizes = of.groupBy("list").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        of = cut(of.join(sizes.select("list", "n"), "list"))
-        # members that share MATCHES coordinates in one way are pairs to confirm, however many
-        short = of if depth == MATCHES - 1 else of.where(f"n <= {LIST}")
-        other = short.select("list", F.col("doc").alias("b"), F.col("component").alias("other"))
-        some = short.join(other, "list").where("doc < b and component <> other").select(F.col("doc").alias("a"), "b")
-        pairs = some if pairs is None else pairs.union(some)
-        of = of.where(f"n > {LIST}").drop("n")
-        if depth == MATCHES - 1 or of.isEmpty():
-            break
-        of = divided(of, reps)
-    more = cut(linked(cut(matching(pairs.distinct(), reps)), docs, words_in_a_row, percent))
-    found = components(links.union(more))
+    for first_only in (False, True):
+        found = components(links)
+        now = posted.join(found, posted["doc"] == found["id"], "left").select("list", "doc", "first", F.coalesce("component", "doc").alias("component"))
+        now = cut(now)
+        mixed = now.groupBy("list").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        if not first_only:
+            mixed = mixed.groupBy("first").agg(F.max_by(F.struct("list", "n"), F.struct("n", "list")).alias("x")).select("x.*")
+        links = cut(links.union(list_links(now.select("list", "doc", "component"), mixed.select("list", "n"), places, reps, docs, words_in_a_row, percent, first_only)))
+    found = components(links)
     return labelled(rows, groups, found)
 
 
