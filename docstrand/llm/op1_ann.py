@@ -15,8 +15,9 @@ from docstrand.llm.vectors import by_dimension, matrix, unit
 #: Hash tables, and axes that a query looks up in each: found 0.96 of the true 20 nearest among 10,256 unit vectors of
 #: 64 dimensions without structure, while reranking 0.35 of them.
 TABLES, PROBES = 32, 3
-#: Rows of a shard: at least, and at most. In between there are SHARDS of them.
-SHARD_LEAST, SHARD_MOST, SHARDS = 1024, 65536, 64
+#: Shards of the index, more where one would have over SHARD_MOST rows. Each returns its best for every query, so their
+#: number doesn't grow with the rows before it must.
+SHARDS, SHARD_MOST = 16, 65536
 QUERY_BLOCK = 16384
 
 
@@ -148,7 +149,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     """
     rows = cut(hashed(vectors, tables, probes).withColumn("query", is_query))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    shards = max(1, -(-sizes["n"] // min(SHARD_MOST, max(SHARD_LEAST, sizes["n"] // SHARDS))))
+    shards = max(SHARDS, -(-sizes["n"] // SHARD_MOST))
     blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
     place = F.xxhash64("vec_id")
     to_all = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
