@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from docstrand.llm.common import cut, ship
 
 
-def forest(links: DataFrame) -> DataFrame:
-    """The links (a, b) of each task, reduced to as few with the same reach: (member, smallest member it reaches)."""
+def forest(links: DataFrame, most: int = 500_000) -> DataFrame:
+    """The links (a, b) of each task, reduced to as few with the same reach: (member, smallest member it reaches), at
+    most `most` members at a time."""
     ship(links.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +33,7 @@ def forest(links: DataFrame) -> DataFrame:
                 x, y = root(parent, x), root(parent, y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-            if len(parent) > 500_000:
+            if len(parent) > most:
                 yield flush(parent)
                 parent = {}
         yield flush(parent)
@@ -40,26 +41,37 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
 
 
+#: Links that one task may hold; only what is left of a link table at this size is finished in one.
+TASK_LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): every id of a link (a, b), with the smallest id that links reach from it.
+    """(id, component): every id of a link (a, b) between two ids, with the smallest id that links reach from it.
 
-    Alternates between pointing each id's larger neighbours and its smaller ones at the smallest of them, until nothing
-    changes; every step is a grouped minimum and a join, so a hub's links are split over tasks. Each round is written
-    to the shared checkpoint folder.
+    Each task first reduces its links to a forest. While more than TASK_LINKS are left, a round points each id's larger
+    neighbours and then its smaller ones at the smallest of them, a grouped minimum and a join each, so a hub's links
+    are split over tasks, and reduces again; a round at least halves the trees' depth. What fits one task's memory is
+    united there, in one pass. Each round is written to the shared checkpoint folder.
     """
-    edges = cut(forest(links).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges, before = reduced(links), None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now[0] <= TASK_LINKS:
+            edges = forest(edges.coalesce(1), 2 * TASK_LINKS + 2)
+            break
+        if tuple(now) == before:
+            break
+        before = tuple(now)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select("b", "m").union(least.select("a", "m")).toDF("a", "b")
-        edges = cut(forest(small).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    found = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+        edges = reduced(large.join(least, "a").where("b <> m").select("b", "m").union(least.select("a", "m")).toDF("a", "b"))
+    found = cut(edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id"))
     roots = found.select(F.col("component").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return found.union(roots)
+
+
+def reduced(links: DataFrame) -> DataFrame:
+    """The distinct links of the tasks' forests, the larger id first."""
+    return cut(forest(links).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

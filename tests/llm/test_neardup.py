@@ -74,7 +74,7 @@ def test_minhash_empty(spark):
     assert [r.kept for r in op5_minhash(spark.createDataFrame([(None, 1, "", 0)], SCHEMA)).collect()] == [True]
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001 + i) for i in range(100)] + [(5, 5)]
     want = Union({x for p in pairs for x in p})
@@ -83,6 +83,8 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
     alone = {x for x in want.of if want.find(x) == x and sum(want.find(y) == x for y in want.of) == 1}
     assert got == {x: want.find(x) for x in want.of if x not in alone}
+    monkeypatch.setattr("docstrand.llm.components.TASK_LINKS", 0)  # the rounds alone
+    assert got == {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
