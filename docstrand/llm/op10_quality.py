@@ -13,7 +13,7 @@ from docstrand.llm import hashing
 from docstrand.llm.common import cut, pieces_of, ship
 from docstrand.llm.op4_urls import SALTS, prior_weight
 
-#: Labelled documents that the classifier is fitted on, at most; those of the least hash of doc_id.
+#: Labelled documents that the classifier is fitted on, at most, chosen by a hash of doc_id.
 SAMPLE = 20_000
 FEATURES = ("words", "upper", "symbols", "bars", "repeats", "distinct", "word_length", "digits", "stops")
 _CLASS = np.zeros((6, 256), bool)
@@ -86,8 +86,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> t
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The classifier, from at most `sample` labelled rows of measured documents (a column good, 0 or 1, or null)."""
-    some = rows.where("good is not null").select("good", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(sample).collect()
+    """The classifier, from at most `sample` labelled rows of measured documents (a column good, 0 or 1, or null): those
+    whose doc_id's hash is below the share that leaves so many. The executors return no others."""
+    known = rows.where("good is not null").select("doc_id", "good", *FEATURES)
+    share = min(1.0, sample / max(1, known.count()))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("good", *FEATURES).limit(sample).collect()
     data = np.array([tuple(r) for r in some], float).reshape(-1, 1 + len(FEATURES))
     return fit(data[:, 1:], data[:, 0])
 
