@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrand.llm.filtering import one_each, without
+from docstrand.llm.filtering import one_each, without, without_ids
 from docstrand.llm.op5_minhash import near_duplicates
 from docstrand.llm.op8_language import learn, predict_languages
 from docstrand.llm.op9_packing import op9_power_of_two
@@ -35,9 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return one_each(kept)
+    return one_each(without_ids(docs, near_duplicates(docs).where("not kept")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

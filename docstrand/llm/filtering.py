@@ -22,6 +22,13 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if small else keys, same, "left_anti")
 
 
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among `dropped` (doc_id); a null doc_id stays. Broadcast like above."""
+    keys = cut(dropped.select(F.col("doc_id").alias("dropped_id")).where("dropped_id is not null").distinct())
+    small = keys.count() * 16 <= BROADCAST
+    return docs.join(F.broadcast(keys) if small else keys, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+
+
 def one_each(docs: DataFrame) -> DataFrame:
     """One row of every doc_id that several rows have, and all rows whose doc_id is unique or null."""
     keys = cut(docs.groupBy(F.col("doc_id").alias("repeated_id")).count().where("count > 1 and repeated_id is not null").select("repeated_id"))
