@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from docstrand.llm.common import cut, ship
 
 
-def forest(links: DataFrame, most: int = 500_000) -> DataFrame:
+def forest(links: DataFrame, most: int = 500_000, roots: bool = False) -> DataFrame:
     """The links (a, b) of each task, reduced to as few with the same reach: (member, smallest member it reaches), at
-    most `most` members at a time."""
+    most `most` members at a time; those smallest members have a row of their own with `roots`."""
     ship(links.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parent: dict[int, int]) -> pa.RecordBatch:
             pairs = [(x, root(parent, x)) for x in parent]
-            pairs = [p for p in pairs if p[0] != p[1]]
+            pairs = [p for p in pairs if roots or p[0] != p[1]]
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         def root(parent: dict[int, int], x: int) -> int:
@@ -57,9 +57,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now[0] <= TASK_LINKS:
-            edges = forest(edges.coalesce(1), 2 * TASK_LINKS + 2)
+            edges = forest(edges.coalesce(1), 2 * TASK_LINKS + 2, roots=True)
             break
         if tuple(now) == before:
+            edges = edges.union(edges.select("b", "b").distinct())
             break
         before = tuple(now)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,9 +68,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = reduced(large.join(least, "a").where("b <> m").select("b", "m").union(least.select("a", "m")).toDF("a", "b"))
-    found = cut(edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id"))
-    roots = found.select(F.col("component").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return found.union(roots)
+    return cut(edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id"))
 
 
 def reduced(links: DataFrame) -> DataFrame:

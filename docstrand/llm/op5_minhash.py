@@ -200,16 +200,15 @@ def near_duplicates(docs: DataFrame, words_in_a_row: int = 5, percent: int = 75)
     posted = cut(posts.join(lists, "list").select("list", "at", "doc", "first"))
 
     star = posted.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
-    links = cut(linked(cut(matching(star, reps)), docs, words_in_a_row, percent))
+    found = components(linked(cut(matching(star, reps)), docs, words_in_a_row, percent))
     for first_only in (False, True):
-        found = components(links)
         now = posted.join(found, posted["doc"] == found["id"], "left").select("list", "doc", "first", F.coalesce("component", "doc").alias("component"))
         now = cut(now)
         mixed = now.groupBy("list").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         if not first_only:
             mixed = mixed.groupBy("first").agg(F.max_by(F.struct("list", "n"), F.struct("n", "list")).alias("x")).select("x.*")
-        links = cut(links.union(list_links(now.select("list", "doc", "component"), mixed.select("list", "n"), places, reps, docs, words_in_a_row, percent, first_only)))
-    found = components(links)
+        more = list_links(now.select("list", "doc", "component"), mixed.select("list", "n"), places, reps, docs, words_in_a_row, percent, first_only)
+        found = components(more.union(found.select("id", "component")))
     return labelled(rows, groups, found)
 
 
