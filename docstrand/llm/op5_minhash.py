@@ -15,7 +15,7 @@ from docstrand.llm.components import components
 from docstrand.llm.hashing import shingles, words
 
 #: Coordinates of a signature, and how many of them a retained pair must share. At a similarity of 0.75 a pair shares
-#: 24 +- 2.4 of 32; it shares fewer than 14 with a probability of about 2 in 100,000.
+#: 24 +- 2.4 of 32; it shares fewer than 14 with a probability of about 4 in 100,000.
 COORDINATES, MATCHES = 32, 14
 #: A pair that shares MATCHES coordinates shares one of the first PREFIX of both, in any one order of all coordinate values.
 PREFIX = COORDINATES - MATCHES + 1
