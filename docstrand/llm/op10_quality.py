@@ -56,7 +56,7 @@ def measured(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", 1 << 20):
             x = features(b.column("text").to_pylist())
             cols = [b.column(c) for c in ("doc_id", "text_hash", "source")]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.float64()) for c in x.T)], ["doc_id", "text_hash", "source", *FEATURES])

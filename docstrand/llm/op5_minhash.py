@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrand.llm.common import cut, pieces_of, ship
+from docstrand.llm.common import cut, give_back, pieces_of, ship
 from docstrand.llm.components import components
 from docstrand.llm.hashing import shingles, words
 
@@ -34,7 +34,7 @@ def signatures(docs: DataFrame, words_in_a_row: int = 5) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", 1 << 20):
             flat, at = shingles(*words(b.column("text").to_pylist()), b.num_rows, words_in_a_row)
             n = np.diff(at)
             full = np.flatnonzero(n)
@@ -92,7 +92,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words_in_a_row: int) -> DataFrame:
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", 1 << 20):
             flat, at = shingles(*words(b.column("text").to_pylist()), b.num_rows, words_in_a_row)
             own = [flat[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "members"])
@@ -118,6 +118,7 @@ def linked(pairs: DataFrame, docs: DataFrame, words_in_a_row: int, percent: int)
         for x in batches:
             keep = [alike(*(np.frombuffer(y.as_buffer(), np.uint64) for y in both), percent) for both in zip(x.column("set_a"), x.column("set_b"))]
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     both = pairs.join(members.toDF("a", "set_a"), "a").join(members.toDF("b", "set_b"), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")

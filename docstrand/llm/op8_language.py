@@ -77,7 +77,7 @@ def train_profiles(labelled: DataFrame, most: int = 300) -> dict[str, list[int]]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "code", "n"])
             sums.clear()
 
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", 1 << 20):
             langs = b.column("lang").to_pylist()
             doc, code = grams(b.column("text").to_pylist())
             names = sorted(set(langs))
@@ -120,7 +120,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], most: int
         rank_of = np.full((len(langs), len(codes) + 1), 1 << 20, np.int32)
         for i, x in enumerate(langs):
             rank_of[i, place[np.array(profiles[x], np.int64)]] = np.arange(len(profiles[x]))
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", 1 << 20):
             n = b.num_rows
             d, c, r = top_grams(*grams(b.column("text").to_pylist()), most)
             total = np.bincount(d, minlength=n)
