@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from docstrand.llm.pieces import forget
+
 _SHIPPED = "docstrand.shipped"
 
 
@@ -56,8 +58,11 @@ def give_back() -> None:
         pass
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of each are about `limit` bytes (one row at least)."""
+def pieces_of(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20, remember: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the texts of each are about `limit` bytes (one row at least). What tokenizers of
+    earlier tasks remember in this worker is dropped unless the caller goes on with it."""
+    if not remember:
+        forget()
     give_back()
     yield from _cut_batches(batches, text, limit)
     give_back()

@@ -152,7 +152,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", full:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = piece_codes(vocabulary), ByteLevel()
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", remember=True):
             texts = [split(x or "") for x in b.column("text").to_pylist()]
             codes = known.learn(texts)
             cols: list[list] = [[] for _ in names[1:]]

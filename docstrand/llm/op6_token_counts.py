@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
             return lambda items: [len(x) for x in ids(items)]
 
         known, split = memory(("counts", vocabulary), make), Splitter(vocabulary_path(vocabulary))
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", remember=True):
             texts = [x or "" for x in b.column("text").to_pylist()]
             frequencies = [split(x) for x in texts]
             count = known.learn(frequencies)

@@ -108,7 +108,7 @@ def pack_best_fit(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id
         block, total = TaskContext.get().partitionId() << 33, 0
         pieces: list[tuple] = []
         ids: list[bytes] = []
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", remember=True):
             split = [words(x or "") for x in b.column("text").to_pylist()]
             of = known.learn(split).__getitem__
             for doc, parts in zip(b.column("doc_id").to_pylist(), split):

@@ -56,7 +56,7 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_bytes(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
-        for b in pieces_of(batches, "text"):
+        for b in pieces_of(batches, "text", remember=True):
             split = [words(x or "") for x in b.column("text").to_pylist()]
             of = known.learn(split).__getitem__
             rows: tuple[list, ...] = ([], [], [], [], [])

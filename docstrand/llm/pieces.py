@@ -74,6 +74,11 @@ def memory(key: tuple, make: Callable[[], Callable], most: int = 1_200_000) -> M
     return _MEMORIES[key]
 
 
+def forget() -> None:
+    """Drop what this worker remembers."""
+    _MEMORIES.clear()
+
+
 def tokenizer(path: str):
     import os
 
