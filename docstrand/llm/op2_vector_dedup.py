@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,41 @@ from docstrand.llm.common import cut, parallelism, ship
 from docstrand.llm.components import components
 from docstrand.llm.vectors import by_dimension, matrix, unit
 
-#: Passes, hash bits that each orders by, and how many rows before it a row is compared with.
+#: Least passes, and passes in one round; hash bits that each orders by; how many rows before it a row is compared with.
 PASSES, BITS, WINDOW = 12, 64, 24
+#: The greatest chance that no pass compares an isolated pair at the threshold, by which the number of passes is set.
+MISS = 1e-3
 #: Rows of a component that are compared with each other in one task.
 BLOCK = 1024
 _ROW = "pass int, label long, dim int, vec_id long, vec binary"
 
 
+def pass_chance(rows: int, window: int, least: float) -> float:
+    """How likely one pass at least compares an isolated pair of cosine `least` among `rows` vectors without structure.
+
+    A projection parts the pair with probability angle / pi. If that first happens after k bits, all rows between the
+    two share those k bits, which about rows / 2^k others do (Poisson).
+    """
+    if rows <= window + 1:
+        return 1.0
+    apart = math.acos(max(-1.0, min(1.0, least))) / math.pi
+
+    def fit(mean: float) -> float:
+        term, total = math.exp(-mean), 0.0
+        for k in range(window):
+            total += term
+            term *= mean / (k + 1)
+        return min(1.0, total)
+
+    return sum(apart * (1 - apart) ** k * fit(rows / 2**k) for k in range(BITS)) + (1 - apart) ** BITS * fit(rows / 2**BITS)
+
+
+def passes_for(rows: int, window: int = WINDOW, least: float = 0.93) -> int:
+    """Passes, PASSES or more, after which such a pair is missed with probability MISS at most."""
+    chance = pass_chance(rows, window, least)
+    return PASSES if chance >= 1 - MISS else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-chance)))
+
+
 def prepared(vectors: DataFrame) -> DataFrame:
     """vec_id, label, dim, print (16 bytes, equal for equal vectors), vec (float64, of length 1), for those that take part."""
     ship(vectors.sparkSession)
@@ -38,7 +67,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, label long, dim int, print binary, vec binary")
 
 
-def keyed(reps: DataFrame, passes: int) -> DataFrame:
+def keyed(reps: DataFrame, passes: range) -> DataFrame:
     """Each row once a pass, with that pass's concatenated sign bits of random projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +76,7 @@ def keyed(reps: DataFrame, passes: int) -> DataFrame:
             for d in np.unique(dims):
                 rows = b.filter(pa.array(dims == d))
                 x = matrix(rows.column("vec"))
-                for p in range(passes):
+                for p in passes:
                     planes = np.random.default_rng([p, int(d)]).standard_normal((int(d), BITS))
                     keys = np.packbits(x @ planes > 0, axis=1)
                     cols = [pa.array([p] * len(x), pa.int32()), rows.column("label"), rows.column("dim"), pa.array([k.tobytes() for k in keys], pa.binary()), rows.column("vec_id"), rows.column("vec")]
@@ -73,7 +102,7 @@ def neighbours(rows: pa.Table, carried: int, window: int, least: float) -> tuple
     return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
 
 
-def sorted_links(reps: DataFrame, passes: int, window: int, least: float) -> DataFrame:
+def sorted_links(reps: DataFrame, passes: range, window: int, least: float) -> DataFrame:
     """Links (a, b) between rows that stand close together in one of the passes' orders.
 
     A pass's order runs over range partitions; the first and last rows of each are returned beside the links, and
@@ -168,14 +197,17 @@ def link_counts(members: DataFrame, least: float) -> DataFrame:
     return own.union(more).groupBy("vec_id").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; only rows of one label (and dimension) are compared.
 
     Equal vectors are one from the start, counted with their copies. In each of `passes` orders, by label and then by
     the concatenated sign bits of random projections, a row is compared with the `window` rows before it; verified
     pairs of all passes are united into components. The orders are range-partitioned, and rows with equal hashes are
-    told apart by vec_id, so no group, however large, is one task's. A window is a bound on what a pass compares, not
-    on what is counted: within a component all links are then counted exactly.
+    told apart by vec_id, so no group, however large, is one task's. Within a component all links are then counted
+    exactly, but a link that no pass compares, and that no others stand for, is lost with what it would join. Unless
+    `passes` is given, it grows with the distinct vectors of the largest label (and dimension), so that an isolated pair
+    of cosine `least` among vectors without other structure is missed with probability MISS at most. PASSES at a time
+    are made and united, so that what is shuffled at once doesn't grow with their number.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
     nothing: n_links 0, component_id their own vec_id, kept. Repeated rows count as copies of each other. An empty table
@@ -185,7 +217,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, passes: int = PASSES,
     same = rows.groupBy("label", "dim", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
     # a vec_id that stands for two vectors is one member
     reps = cut(same.groupBy(F.col("rep").alias("vec_id")).agg(F.min("label").alias("label"), F.min("dim").alias("dim"), F.min("vec").alias("vec"), F.sum("copies").alias("copies")))
-    found = cut(components(sorted_links(reps, passes, window, least)))
+    if passes is None:
+        passes = passes_for(reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, window, least)
+    found = None
+    for p in range(0, passes, PASSES):
+        links = sorted_links(reps, range(p, min(p + PASSES, passes)), window, least)
+        found = cut(components(links if found is None else links.union(found.select("id", "component"))))
     placed = reps.join(found.withColumnRenamed("id", "vec_id"), "vec_id")
     lead = reps.select(F.col("vec_id").alias("component"), F.col("vec").alias("lead"))
     counts = link_counts(placed.join(lead, "component"), least)

@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from docstrand.llm.components import components
 from docstrand.llm.op1_ann import hadamard, nearest
-from docstrand.llm.op2_vector_dedup import near_vectors
+from docstrand.llm.op2_vector_dedup import MISS, near_vectors, pass_chance, passes_for
 from docstrand.llm.op5_minhash import op5_minhash
 from pyspark.sql import functions as F
 
@@ -131,6 +133,29 @@ def test_vector_links_are_exact_here(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_isolated_vector_pairs_in_a_large_label(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((30_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 64))
+    side -= (side * x[:1000]).sum(axis=1, keepdims=True) * x[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = np.float32(np.concatenate([x, 0.9302 * x[:1000] + np.sqrt(1 - 0.9302**2) * side]))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(31_001) * 64, pa.int32()), pa.array(near.ravel()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(31_000)), "label": pa.array(np.zeros(31_000, np.int32)), "embedding": flat}), tmp_path / "v.parquet")
+    got = near_vectors(spark.read.parquet(str(tmp_path / "v.parquet")).repartition(4))
+    joined = got.where("vec_id >= 30000 and component_id = vec_id - 30000 and n_links = 1 and not kept").count()
+    assert joined >= 1000 - 4  # a miss of 1 in 1000 at most is asked for
+    assert got.count() == 31_000 and got.where("n_links > 0").count() == 2 * joined
+
+
+def test_passes_grow_with_the_largest_label():
+    assert [passes_for(n) for n in (0, 25, 1000)] == [12, 12, 12]
+    for n in (30_000, 10**6, 10**9):
+        chance = pass_chance(n, 24, 0.93)
+        assert (1 - chance) ** passes_for(n) <= MISS < (1 - chance) ** (passes_for(n) - 1)
+
+
 def test_search_finds_the_nearest(spark):
     rows = vectors() + [(0, [50.0 * v for v in vectors()[70][1]], 900, "", "")]
     got = {}
