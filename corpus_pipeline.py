@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrand.llm.filtering import one_each, without, without_ids
+from docstrand.llm.common import cut
+from docstrand.llm.filtering import one_each, own_ids, several_texts, without, without_ids
 from docstrand.llm.op5_minhash import near_duplicates
 from docstrand.llm.op8_language import learn, predict_languages
 from docstrand.llm.op9_packing import op9_power_of_two
@@ -34,8 +35,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    return one_each(without_ids(docs, near_duplicates(docs).where("not kept")))
+    """One document of each group of near duplicates: that of the smallest doc_id. The texts of a doc_id that has several
+    are documents of their own."""
+    texts = several_texts(docs)
+    if texts is None:
+        return one_each(without_ids(docs, near_duplicates(docs).where("not kept")))
+    found = near_duplicates(own_ids(docs, texts)).select(F.col("doc_id").alias("own"), "component_id").where("own is not null").distinct()
+    # of the ids in their place, the smallest need not be of the smallest doc_id
+    members = cut(found.join(texts, "own", "left").select("component_id", F.struct(F.coalesce("of", "own").alias("doc_id"), "text_hash").alias("document")))
+    first = members.groupBy("component_id").agg(F.min("document").alias("first"))
+    dropped = cut(members.join(first, "component_id").where(~F.col("document").eqNullSafe(F.col("first"))).select("document.*"))
+    return one_each(without(without_ids(docs, dropped.where("text_hash is null")), dropped.where("text_hash is not null")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,16 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(sizes[3])
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    a, b, c, d = (prose("en", rng) for _ in range(4))
+    rows = [(a, 1), (b, 2), (a, 2), (c, 3), (d, 3), (c, 3), (b + " and", 5), (d, 0), (None, 4), (c, None)]
+    docs = spark.createDataFrame([(t, i, "x") for t, i in rows], "text string, doc_id long, source string")
+    left = [(r.text, r.doc_id) for r in corpus_pipeline.near_duplicate(spark, docs, "").collect()]
+    assert sorted(left, key=repr) == sorted([(a, 1), (b, 2), (c, 3), (d, 0), (None, 4), (c, None)], key=repr)
+
+
 def test_registry():
     import __spark_entry__
 
