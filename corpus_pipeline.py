@@ -13,7 +13,7 @@ from docstrand.llm.common import cut
 from docstrand.llm.filtering import one_each, own_ids, several_texts, without, without_ids
 from docstrand.llm.op5_minhash import near_duplicates
 from docstrand.llm.op8_language import learn, predict_languages
-from docstrand.llm.op9_packing import op9_power_of_two
+from docstrand.llm.op9_packing import pack_binary
 from docstrand.llm.op10_quality import score_quality
 
 #: A text whose profile is this far from every language's is none of them.
@@ -49,7 +49,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op9_power_of_two(docs)
+    """The packed pieces with their token ids, and a digest of each."""
+    return pack_binary(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicate", near_duplicate), ("packing", packing)]

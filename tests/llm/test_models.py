@@ -4,8 +4,11 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docstrand.llm import op4_urls
 from docstrand.llm.op8_language import op8_language
@@ -154,6 +157,21 @@ def test_texts_of_one_id_are_documents_of_their_own(spark):
     assert sorted(left, key=repr) == sorted([(a, 1), (b, 2), (c, 3), (d, 0), (None, 4), (c, None)], key=repr)
 
 
+def test_packing_stage_writes_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(prose("en", rng), i) for i in range(5)] + [(None, 5)], "text string, doc_id long")
+    corpus_pipeline.packing(spark, docs, "").write.parquet(str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert {r.doc_id for r in rows} == set(range(6))
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for text, i in docs.collect():
+        whole = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(whole, "<u4").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_registry():
     import __spark_entry__
 
