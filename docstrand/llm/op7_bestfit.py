@@ -134,7 +134,7 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op7_best_fit(docs: DataFrame) -> DataFrame:
-    """The packed rows with digests in place of the id matrix."""
+    """The packed rows, the id matrix among them, and a digest of each row of it."""
     return pack_best_fit(docs).select(
-        "block", "row", "n_tokens", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "starts", "doc_tokens"
+        "block", "row", "n_tokens", "ids", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "starts", "doc_tokens"
     )

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from docstrand.llm.op3_bpe import contract_long, encode_bpe, load_ranks, op3_bpe
 from docstrand.llm.op6_token_counts import op6_token_counts
-from docstrand.llm.op7_bestfit import best_fit, pack_best_fit
+from docstrand.llm.op7_bestfit import best_fit, op7_best_fit, pack_best_fit, write_packed
 from docstrand.llm.op9_packing import binary_lengths, op9_power_of_two, pack_binary
 
 TEXTS = [
@@ -108,6 +108,20 @@ def test_best_fit_packing_round_trip(docs, empty):
     assert pack_best_fit(empty).count() == 0
 
 
+def test_packed_matrix_is_written_and_read_back(spark, docs, tmp_path):
+    write_packed(op7_best_fit(docs), str(tmp_path / "packed"))
+    found = {}
+    for r in spark.read.parquet(str(tmp_path / "packed")).collect():
+        ids = np.frombuffer(bytes(r.ids), "<u4")
+        assert len(ids) == 2048 and (ids[r.n_tokens :] == 0).all() and zlib.crc32(ids.tobytes()) == r.ids_crc32
+        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1]
+        assert len(r.doc_ids) == len(r.starts) == len(r.doc_tokens) == len(r.position_resets)
+        for k, (doc, start) in enumerate(zip(r.doc_ids, r.starts)):
+            found.setdefault(doc, []).append((start, ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
+    for i, text in enumerate(TEXTS):
+        assert sum((p for _, p in sorted(found[i])), []) == word_ids(text) * (2 if i == 4 else 1)
+
+
 def test_best_fit_is_best_fit_decreasing():
     for seed in range(10):
         lengths = np.random.default_rng(seed).integers(1, 65, 150).tolist()
