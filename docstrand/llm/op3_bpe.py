@@ -111,27 +111,24 @@ def duckdb_words(path: str) -> Callable[[list[bytes]], list[tuple[bytes, bytes]]
 
 
 def piece_codes(vocabulary: str):
-    """Remembered codes of pieces: the ids alone where they decode to the piece, else also what they decode to."""
+    """Remembered decimal ids of pieces, joined by spaces."""
 
     def make():
         encode = duckdb_words(vocabulary_path(vocabulary))
+        return lambda items: [ids for ids, _ in encode([x.encode() for x in items])]
 
-        def compute(items: list[str]) -> list[bytes | tuple[bytes, bytes]]:
-            raw = [x.encode() for x in items]
-            return [ids if decoded == x else (ids, decoded) for x, (ids, decoded) in zip(raw, encode(raw))]
+    return memory(("bpe", vocabulary), make)
 
-        return compute
 
-    return memory(("bpe", vocabulary), make)
+def token_bytes(vocabulary: str) -> dict[bytes, bytes]:
+    """The bytes of each token, by its decimal id."""
+    return {b"%d" % r: t for t, r in load_ranks(vocabulary_path(vocabulary)).items()}
 
 
-def assemble(pieces: list[str], codes: dict) -> tuple[bytes, bytes]:
-    """Decimal ids joined by spaces, and the decoded bytes, of a text's pieces."""
-    found = [codes[p] for p in pieces]
-    if all(type(x) is bytes for x in found):
-        return b" ".join(found), "".join(pieces).encode()
-    both = [(x, p.encode()) if type(x) is bytes else x for x, p in zip(found, pieces)]
-    return b" ".join(x for x, _ in both), b"".join(x for _, x in both)
+def assemble(pieces: list[str], codes: dict[str, bytes], tokens: dict[bytes, bytes]) -> tuple[bytes, bytes]:
+    """Decimal ids joined by spaces of a text's pieces, and the bytes that this sequence of ids decodes to."""
+    ids = b" ".join([codes[p] for p in pieces])
+    return ids, b"".join([tokens[x] for x in ids.split()])
 
 
 def encode_bpe(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", full: bool = True) -> DataFrame:
@@ -139,8 +136,8 @@ def encode_bpe(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", full:
 
     A text is split by the vocabulary's pattern, each match encoded separately. The distinct words that a task meets
     are token-position rows of one DuckDB query, which joins the merge table, contracts each word's leftmost pair of
-    least rank, and repeats until no pair is left; ordered aggregation gives the ids as text and, through the
-    vocabulary, the bytes that they decode to. Documents are put together from their words. Words are remembered up to
+    least rank, and repeats until no pair is left; ordered aggregation gives the ids as text. A document's ids are put
+    together from its words', and decoded as one sequence through the vocabulary. Words are remembered up to
     a fixed number, so memory is bounded; nothing is shuffled and a lost task is computed again from its rows.
 
     A null text counts as empty: 0 tokens and the digests of nothing. Special strings are ordinary text. Repeated rows
@@ -151,13 +148,13 @@ def encode_bpe(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", full:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = piece_codes(vocabulary), ByteLevel()
+        known, split, tokens = piece_codes(vocabulary), ByteLevel(), token_bytes(vocabulary)
         for b in pieces_of(batches, "text", remember=True):
             texts = [split(x or "") for x in b.column("text").to_pylist()]
             codes = known.learn(texts)
             cols: list[list] = [[] for _ in names[1:]]
             for parts in texts:
-                ids, decoded = assemble(parts, codes)
+                ids, decoded = assemble(parts, codes, tokens)
                 row = [ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 if full:
                     row += [np.array(ids.split(), np.int32), decoded]

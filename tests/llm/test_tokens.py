@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from docstrand.llm.op3_bpe import contract_long, encode_bpe, load_ranks, op3_bpe
+from docstrand.llm.op3_bpe import assemble, contract_long, encode_bpe, load_ranks, op3_bpe, token_bytes
 from docstrand.llm.op6_token_counts import op6_token_counts
 from docstrand.llm.op7_bestfit import best_fit, op7_best_fit, pack_best_fit, write_packed
 from docstrand.llm.op9_packing import binary_lengths, op9_power_of_two, pack_binary
@@ -51,6 +51,14 @@ def test_bpe_is_tiktokens(docs, empty):
     assert op3_bpe(empty).count() == 0
 
 
+def test_documents_are_decoded_from_their_ids():
+    tokens = token_bytes("byte_bpe_50k.tiktoken")
+    one, two = (next(i for i, x in tokens.items() if x == w) for w in (b"a", b"b"))
+    assert assemble(["a", "b"], {"a": one, "b": two}, tokens) == (one + b" " + two, b"ab")
+    assert assemble(["a", "b"], {"a": two, "b": one}, tokens) == (two + b" " + one, b"ba")  # wrong ids show
+    assert assemble([], {}, tokens) == (b"", b"")
+
+
 def test_long_words_by_heap():
     ranks, enc = load_ranks(P.path("byte_bpe_50k.tiktoken")), tiktoken_encoding()
     rng = np.random.default_rng(1)
