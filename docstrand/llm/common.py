@@ -10,15 +10,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from docstrand.llm.pieces import forget
+from docstrand.operators.lineage import cut  # noqa: F401 - for the operators
 
-_SHIPPED = "docstrand.shipped"
+#: Rows of an Arrow batch between Spark and Python. Spark's own 10,000 make batches of tens of MB where rows are texts,
+#: and each task's executor holds several of them outside its heap.
+BATCH_ROWS = "1000"
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application."""
+    """Give the executors this package, once an application, and the session smaller batches unless it has chosen some."""
+    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_docstrand_shipped", False):
         return
@@ -34,17 +40,6 @@ def ship(spark: SparkSession) -> None:
     sc._docstrand_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder that spark.checkpoint.dir names.
-
-    Only a session that has no such setting (a test) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

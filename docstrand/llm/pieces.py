@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from sys import getsizeof
 
 import public_tokenizers
 
@@ -45,32 +46,41 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory:
-    """Results by piece, of at most `most` pieces; beyond, it starts afresh. It outlives a task in a reused worker."""
+    """Results by piece, of about `most` bytes; beyond, it starts afresh. It outlives a task in a reused worker. What a
+    piece of more than LONGEST characters gives is kept for its batch only, as such pieces seldom come again."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 1_200_000):
-        self.compute, self.most, self.known = compute, most, {}
+    LONGEST = 64
+
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 32 << 20):
+        self.compute, self.most, self.known, self.size, self.brief = compute, most, {}, 0, []
 
     def learn(self, lists: Iterable[list[str]]) -> dict:
         """The results of all pieces in these lists, at least."""
+        for x in self.brief:
+            self.known.pop(x, None)
+        self.brief = []
+        if self.size > self.most:
+            self.known, self.size = {}, 0
         new: set[str] = set()
         for x in lists:
             new.update(x)
         new.difference_update(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = set().union(*lists)
-            fresh = sorted(new)
-            self.known.update(zip(fresh, self.compute(fresh)))
+        fresh = sorted(new)
+        for x, got in zip(fresh, self.compute(fresh)):
+            self.known[x] = got
+            if len(x) > self.LONGEST:
+                self.brief.append(x)
+            else:
+                self.size += getsizeof(x) + getsizeof(got) + 100  # what a dictionary takes for an entry
         return self.known
 
 
 _MEMORIES: dict[tuple, Memory] = {}
 
 
-def memory(key: tuple, make: Callable[[], Callable], most: int = 1_200_000) -> Memory:
+def memory(key: tuple, make: Callable[[], Callable]) -> Memory:
     if key not in _MEMORIES:
-        _MEMORIES[key] = Memory(make(), most)
+        _MEMORIES[key] = Memory(make())
     return _MEMORIES[key]
 
 
