@@ -15,6 +15,7 @@ from docstrand.llm.op4_urls import SALTS, prior_weight
 
 #: Labelled documents that the classifier is fitted on, at most, chosen by a hash of doc_id.
 SAMPLE = 20_000
+MILLION = 1_000_000
 FEATURES = ("words", "upper", "symbols", "bars", "repeats", "distinct", "word_length", "digits", "stops")
 _CLASS = np.zeros((6, 256), bool)
 _CLASS[0, [*range(65, 91), *range(97, 123), *range(128, 256)]] = True  # letters
@@ -32,11 +33,12 @@ def features(texts: list[str | None]) -> np.ndarray:
     size = np.array([len(x) for x in raw])
     at = np.concatenate([[0], np.cumsum(size)])
     n = len(raw)
-    sums = []
-    for c in _CLASS:
-        total = np.concatenate([[0], np.cumsum(c[data], dtype=np.int64)])
-        sums.append(total[at[1:]] - total[at[:-1]])
-    letters, upper, symbols, bars, digits, stops = (x.astype(float) for x in sums)
+    full = np.flatnonzero(size)
+    sums = np.zeros((len(_CLASS), n))
+    for i, c in enumerate(_CLASS):
+        if len(full):
+            sums[i, full] = np.add.reduceat(c[data], at[full], dtype=np.int64)
+    letters, upper, symbols, bars, digits, stops = sums
     doc, h = hashing.words(texts)
     words = np.bincount(doc, minlength=n)
     same = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
@@ -86,12 +88,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> t
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The classifier, from at most `sample` labelled rows of measured documents (a column good, 0 or 1, or null): those
-    whose doc_id's hash is below the share that leaves so many. The executors return no others."""
-    known = rows.where("good is not null").select("doc_id", "good", *FEATURES)
-    share = min(1.0, sample / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("good", *FEATURES).limit(sample).collect()
-    data = np.array([tuple(r) for r in some], float).reshape(-1, 1 + len(FEATURES))
+    """The classifier, from labelled rows of measured documents (a column good, 0 or 1, or null), each text of a doc_id
+    once: those whose hash is below the share that leaves `sample` less five times its root, so that more than `sample`
+    come with a chance below one in a million. The executors return no others; their order doesn't matter."""
+    known = rows.where("good is not null").select("doc_id", "text_hash", "good", *FEATURES)
+    share = min(1.0, max(1.0, sample - 5 * sample**0.5) / max(1, known.count()))
+    some = known.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = some.dropDuplicates(["doc_id", "text_hash"]).select("good", *FEATURES).collect()
+    data = np.array(sorted(tuple(r) for r in some), float).reshape(-1, 1 + len(FEATURES))
     return fit(data[:, 1:], data[:, 0])
 
 
@@ -102,20 +106,21 @@ def site_quality(rows: DataFrame, threshold: float) -> DataFrame:
     A host's mean is shrunk toward that of all, a path's toward its host's, with the weights that the spread between
     hosts and between paths supports; a document's own evidence is left out of its path's posterior.
     """
-    evidence = F.coalesce(F.col("good").cast("double"), F.col("p_doc"))
+    # sums of whole millionths don't hang on their order
+    evidence = F.round(F.coalesce(F.col("good").cast("double"), F.col("p_doc")) * MILLION).cast("long")
     rows = rows.withColumns({"host": F.coalesce(F.split_part("source", F.lit("/"), F.lit(1)), F.lit("")), "path": F.coalesce(F.split_part("source", F.lit("/"), F.lit(2)), F.lit(""))})
     # "bad" is what prior_weight calls the outcome it counts
-    paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(evidence).alias("bad")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(evidence) / MILLION).alias("bad"), F.sum(evidence).alias("units")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), (F.sum("units") / MILLION).alias("bad"))
     (m_host, mean), (m_path, _) = prior_weight(hosts), prior_weight(paths)
-    shrunk = hosts.select("host", ((F.col("bad") + m_host * mean) / (F.col("n") + m_host)).alias("host_mean"))
+    shrunk = hosts.select("host", F.round((F.col("bad") + m_host * mean) / (F.col("n") + m_host), 9).alias("host_mean"))
     sites = paths.join(shrunk, "host").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumns({"salt": F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")}).join(sites, ["host", "path", "salt"])
-    site = (F.col("bad") - evidence + m_path * F.col("host_mean")) / (F.col("n") - 1 + m_path)
+    site = F.round(((F.col("units") - evidence) / MILLION + m_path * F.col("host_mean")) / (F.col("n") - 1 + m_path), 9)
     bounded = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
-    mean = min(max(mean, 1e-6), 1 - 1e-6)
+    mean = min(max(round(mean, 9), 1e-6), 1 - 1e-6)
     logit = F.log(F.col("p_doc") / (1 - F.col("p_doc"))) + F.log(bounded / (1 - bounded)) - float(np.log(mean / (1 - mean)))
-    quality = 1 / (1 + F.exp(-logit))
+    quality = F.round(1 / (1 + F.exp(-logit)), 6)
     return rows.select("doc_id", "text_hash", "host", "path", "p_doc", "host_mean", site.alias("path_mean"), quality.alias("quality"), (quality >= threshold).alias("kept"))
 
 
@@ -127,9 +132,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
     parts of `source` at "/"; a source without "/" has the empty path. The classifier's log odds and those of the
     path's posterior against all documents' are added.
 
-    A null text counts as empty. A null source is the host "". A null doc_id has no label. Repeated rows are scored
-    each. Without labels, or with labels of one kind, p_doc is 0.5. An empty table gives no rows. Other columns are
-    not read.
+    p_doc, the site means and quality are rounded, and sums taken in whole millionths, so that no order of rows tells.
+    A null text counts as empty; a very long one is measured whole, in its batch's memory. A null source is the host "".
+    A null doc_id has no label. Repeated rows are scored each, alike. Without labels, or with labels of one kind, p_doc is
+    0.5. An empty table gives no rows. Other columns are not read.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
     rows = cut(measured(docs).join(known, "doc_id", "left"))
@@ -137,7 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
     z = F.lit(intercept)
     for i, c in enumerate(FEATURES):
         z = z + float(weights[i]) * F.col(c) + float(weights[i + len(FEATURES)]) * F.col(c) * F.col(c)
-    p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))))
+    p = F.round(1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)))), 6)
     return site_quality(rows.withColumn("p_doc", p), threshold)
 
 
