@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrand.llm.common import cut
-from docstrand.operators.writes import numbered
 
 #: Bytes up to which a table of keys may be broadcast.
 BROADCAST = 32 << 20
@@ -23,13 +22,6 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if small else keys, same, "left_anti")
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among `dropped` (doc_id); a null doc_id stays. Broadcast like above."""
-    keys = cut(dropped.select(F.col("doc_id").alias("dropped_id")).where("dropped_id is not null").distinct())
-    small = keys.count() * 16 <= BROADCAST
-    return docs.join(F.broadcast(keys) if small else keys, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
-
-
 def one_each(docs: DataFrame) -> DataFrame:
     """One row of every doc_id and text that several rows have, and all rows whose doc_id is unique or null."""
     keys = cut(docs.groupBy(F.col("doc_id").alias("repeated_id")).count().where("count > 1 and repeated_id is not null").select("repeated_id"))
@@ -39,21 +31,3 @@ def one_each(docs: DataFrame) -> DataFrame:
     keys = F.broadcast(keys) if n * 16 <= BROADCAST else keys
     same = docs["doc_id"] == F.col("repeated_id")
     return docs.join(keys, same, "left_anti").union(docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
-
-
-def several_texts(docs: DataFrame) -> DataFrame | None:
-    """(of, text_hash, own) for each text of every doc_id `of` that has several, `own` an id above all others; None if
-    no doc_id has several."""
-    pairs = docs.select(F.col("doc_id").cast("long").alias("of"), F.xxhash64("text").alias("text_hash")).where("of is not null")
-    ids = cut(pairs.groupBy("of").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high").select("of"))
-    if ids.isEmpty():
-        return None
-    top = pairs.agg(F.max("of")).first()[0]
-    return cut(numbered(pairs.join(ids, "of").distinct(), ["of", "text_hash"], top, "own"))
-
-
-def own_ids(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, text, with the ids of several_texts in place of those that name several. Broadcast like above."""
-    small = texts.count() * 40 <= BROADCAST
-    same = (docs["doc_id"].cast("long") == F.col("of")) & (F.xxhash64(docs["text"]) == F.col("text_hash"))
-    return docs.join(F.broadcast(texts) if small else texts, same, "left").select(F.coalesce("own", docs["doc_id"].cast("long")).alias("doc_id"), docs["text"])
