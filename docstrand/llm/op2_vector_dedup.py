@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docstrand.llm.common import cut, parallelism, ship
 from docstrand.llm.components import components
-from docstrand.llm.vectors import by_dimension, matrix, unit
+from docstrand.llm.vectors import by_dimension, is_single, matrix, packed, unit
 
 #: Least passes, and passes in one round; hash bits that each orders by; how many rows before it a row is compared with.
 PASSES, BITS, WINDOW = 12, 64, 24
@@ -22,7 +22,7 @@ PASSES, BITS, WINDOW = 12, 64, 24
 MISS = 1e-3
 #: Rows of a component that are compared with each other in one task.
 BLOCK = 1024
-_ROW = "pass int, label long, dim int, vec_id long, vec binary"
+_ROW = "pass int, label long, dim int, node long, vec binary"
 
 
 def pass_chance(rows: int, window: int, least: float) -> float:
@@ -52,8 +52,9 @@ def passes_for(rows: int, window: int = WINDOW, least: float = 0.93) -> int:
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dim, print (16 bytes, equal for equal vectors), vec (float64, of length 1), for those that take part."""
+    """vec_id, label, dim, print (16 bytes, equal for equal vectors), vec, for those that take part."""
     ship(vectors.sparkSession)
+    single = is_single(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +62,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 at = pa.array(rows)
                 prints = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x + 0.0]
                 cols = [b.column("vec_id").take(at), b.column("label").take(at), pa.array([x.shape[1]] * len(x), pa.int32()), pa.array(prints, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([v.tobytes() for v in unit(x)], pa.binary())], ["vec_id", "label", "dim", "print", "vec"])
+                yield pa.RecordBatch.from_arrays([*cols, packed(x, single)], ["vec_id", "label", "dim", "print", "vec"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and label is not null")
     return rows.mapInArrow(run, "vec_id long, label long, dim int, print binary, vec binary")
@@ -75,25 +76,25 @@ def keyed(reps: DataFrame, passes: range) -> DataFrame:
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 rows = b.filter(pa.array(dims == d))
-                x = matrix(rows.column("vec"))
+                x = unit(matrix(rows.column("vec"), int(d)))
                 for p in passes:
                     planes = np.random.default_rng([p, int(d)]).standard_normal((int(d), BITS))
                     keys = np.packbits(x @ planes > 0, axis=1)
-                    cols = [pa.array([p] * len(x), pa.int32()), rows.column("label"), rows.column("dim"), pa.array([k.tobytes() for k in keys], pa.binary()), rows.column("vec_id"), rows.column("vec")]
-                    yield pa.RecordBatch.from_arrays(cols, ["pass", "label", "dim", "key", "vec_id", "vec"])
+                    cols = [pa.array([p] * len(x), pa.int32()), rows.column("label"), rows.column("dim"), pa.array([k.tobytes() for k in keys], pa.binary()), rows.column("node"), rows.column("vec")]
+                    yield pa.RecordBatch.from_arrays(cols, ["pass", "label", "dim", "key", "node", "vec"])
 
-    return reps.select("label", "dim", "vec_id", "vec").mapInArrow(run, "pass int, label long, dim int, key binary, vec_id long, vec binary")
+    return reps.select("label", "dim", "node", "vec").mapInArrow(run, "pass int, label long, dim int, key binary, node long, vec binary")
 
 
 def neighbours(rows: pa.Table, carried: int, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of sorted rows up to `window` apart, the later one beyond the first `carried`."""
     group = np.column_stack([rows["pass"].to_numpy(), rows["label"].to_numpy(), rows["dim"].to_numpy()])
-    ids, a, b = rows["vec_id"].to_numpy(), [], []
+    ids, a, b = rows["node"].to_numpy(), [], []
     cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
     for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ids)]])):
         if e - s < 2:
             continue
-        x = matrix(rows["vec"].slice(s, e - s))
+        x = unit(matrix(rows["vec"].slice(s, e - s), int(group[s, 2])))
         for gap in range(1, min(window, e - s - 1) + 1):
             hit = np.flatnonzero(np.einsum("ij,ij->i", x[gap:], x[:-gap]) >= least)
             hit = hit[hit + gap + s >= carried]
@@ -108,7 +109,7 @@ def sorted_links(reps: DataFrame, passes: range, window: int, least: float) -> D
     A pass's order runs over range partitions; the first and last rows of each are returned beside the links, and
     compared across the border in a second, small step.
     """
-    names = ["a", "b", "border", "late", "pass", "label", "dim", "vec_id", "vec"]
+    names = ["a", "b", "border", "late", "pass", "label", "dim", "node", "vec"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
     def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -144,19 +145,19 @@ def sorted_links(reps: DataFrame, passes: range, window: int, least: float) -> D
         # rows of a border are few, but only pairs that cross it are new
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    order = ["pass", "label", "dim", "key", "vec_id"]
+    order = ["pass", "label", "dim", "key", "node"]
     schema = "a long, b long, border int, late int, " + _ROW
     ranged = keyed(reps, passes).repartitionByRange(parallelism(reps.sparkSession), *order).sortWithinPartitions(*order)
     # the order within a border's side is that of its partition
-    found = cut(ranged.select("pass", "label", "dim", "vec_id", "vec").mapInArrow(run, schema))
-    edges = found.where("border is not null").select("border", "late", "pass", "label", "dim", "vec_id", "vec")
+    found = cut(ranged.select("pass", "label", "dim", "node", "vec").mapInArrow(run, schema))
+    edges = found.where("border is not null").select("border", "late", "pass", "label", "dim", "node", "vec")
     return found.where("border is null").select("a", "b").union(edges.groupBy("border").applyInArrow(across, "a long, b long"))
 
 
 def link_counts(members: DataFrame, least: float) -> DataFrame:
-    """(vec_id, n): how many vectors link with each member of a component, copies counted each, itself left out.
+    """(node, n): how many vectors link with each member of a component, copies counted each, itself left out.
 
-    members: vec_id, component, vec, copies, and lead, the vector of the component's first member. Members within half
+    members: node, component, vec, copies, and lead, the vector of the component's first member. Members within half
     the threshold's angle of the lead all link with each other, so they are counted without being compared. The rest
     are compared with all members of their component, in blocks.
     """
@@ -164,72 +165,78 @@ def link_counts(members: DataFrame, least: float) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            core = [float(np.dot(np.frombuffer(v.as_buffer()), np.frombuffer(w.as_buffer()))) >= half for v, w in zip(b.column("vec"), b.column("lead"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "component", "vec", "copies")), pa.array(core, pa.bool_())], ["vec_id", "component", "vec", "copies", "core"])
+            dims, core = b.column("dim").to_numpy(), np.zeros(b.num_rows, bool)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                one, two = (unit(matrix(b.column(c).take(pa.array(at)), int(d))) for c in ("vec", "lead"))
+                core[at] = (one * two).sum(axis=1) >= half
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "component", "dim", "vec", "copies")), pa.array(core, pa.bool_())], ["node", "component", "dim", "vec", "copies", "core"])
 
-    rows = cut(members.select("vec_id", "component", "vec", "copies", "lead").mapInArrow(near, "vec_id long, component long, vec binary, copies long, core boolean"))
+    rows = cut(members.select("node", "component", "dim", "vec", "copies", "lead").mapInArrow(near, "node long, component long, dim int, vec binary, copies long, core boolean"))
     sums = rows.groupBy("component").agg(
         F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("in_core"), F.count("*").alias("size"), F.count_if(~F.col("core")).alias("rest")
     )
     rows = rows.join(sums, "component")
-    own = rows.select("vec_id", F.when(F.col("core"), F.col("in_core") - 1).otherwise(F.col("copies") - 1).alias("n"))
+    own = rows.select("node", F.when(F.col("core"), F.col("in_core") - 1).otherwise(F.col("copies") - 1).alias("n"))
 
     blocks, rests = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
-    place = F.xxhash64("vec_id")
+    place = F.xxhash64("node")
     apart = rows.where("rest > 0")
-    left = apart.select("component", "vec_id", "vec", "copies", "core", F.pmod(place, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), rests - 1)).alias("other"))
-    fresh = [F.col(c).alias(c) for c in ("component", "vec_id", "vec", "copies")]  # else Spark takes both sides' columns for the same
+    left = apart.select("component", "node", "dim", "vec", "copies", "core", F.pmod(place, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), rests - 1)).alias("other"))
+    fresh = [F.col(c).alias(c) for c in ("component", "node", "dim", "vec", "copies")]  # else Spark takes both sides' columns for the same
     right = apart.where("not core").select(*fresh, F.pmod(place, rests).cast("int").alias("other"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
-            one, two = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-            hit = matrix(b["vec"]) @ matrix(a["vec"]).T >= least
+            one, two = a["node"].to_numpy(), b["node"].to_numpy()
+            hit = unit(matrix(b["vec"], b["dim"][0].as_py())) @ unit(matrix(a["vec"], a["dim"][0].as_py())).T >= least
             hit &= two[:, None] != one[None, :]
             core = a["core"].to_numpy(zero_copy_only=False)
             ids = np.concatenate([two, one[core]])
             n = np.concatenate([hit @ a["copies"].to_numpy(), b["copies"].to_numpy() @ hit[:, core]])
-        return pa.table({"vec_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
+        return pa.table({"node": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
 
     keys = ("component", "block", "other")
-    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long")
-    return own.union(more).groupBy("vec_id").agg(F.sum("n").alias("n"))
+    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "node long, n long")
+    return own.union(more).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; only rows of one label (and dimension) are compared.
 
-    Equal vectors are one from the start, counted with their copies. In each of `passes` orders, by label and then by
-    the concatenated sign bits of random projections, a row is compared with the `window` rows before it; verified
+    Equal vectors of one label are one from the start, counted with their copies. In each of `passes` orders, by label and
+    then by the concatenated sign bits of random projections, a row is compared with the `window` rows before it; verified
     pairs of all passes are united into components. The orders are range-partitioned, and rows with equal hashes are
-    told apart by vec_id, so no group, however large, is one task's. Within a component all links are then counted
+    told apart by a number, so no group, however large, is one task's. Within a component all links are then counted
     exactly, but a link that no pass compares, and that no others stand for, is lost with what it would join. Unless
     `passes` is given, it grows with the distinct vectors of the largest label (and dimension), so that an isolated pair
     of cosine `least` among vectors without other structure is missed with probability MISS at most. PASSES at a time
     are made and united, so that what is shuffled at once doesn't grow with their number.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
-    nothing: n_links 0, component_id their own vec_id, kept. Repeated rows count as copies of each other. An empty table
-    gives no rows. Other columns are not read.
+    nothing: n_links 0, component_id their own vec_id, kept. Repeated rows count as copies of each other. Rows of one
+    vec_id with different labels or vectors are vectors of their own, each with its own links and component. An empty
+    table gives no rows. Other columns are not read.
     """
     rows = cut(prepared(vectors))
-    same = rows.groupBy("label", "dim", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
-    # a vec_id that stands for two vectors is one member
-    reps = cut(same.groupBy(F.col("rep").alias("vec_id")).agg(F.min("label").alias("label"), F.min("dim").alias("dim"), F.min("vec").alias("vec"), F.sum("copies").alias("copies")))
+    same = rows.groupBy("label", "dim", "print").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
+    # the checkpoint settles which of them has which number
+    reps = cut(same.withColumn("node", F.monotonically_increasing_id()))
     if passes is None:
         passes = passes_for(reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, window, least)
     found = None
     for p in range(0, passes, PASSES):
         links = sorted_links(reps, range(p, min(p + PASSES, passes)), window, least)
         found = cut(components(links if found is None else links.union(found.select("id", "component"))))
-    placed = reps.join(found.withColumnRenamed("id", "vec_id"), "vec_id")
-    lead = reps.select(F.col("vec_id").alias("component"), F.col("vec").alias("lead"))
+    placed = reps.join(found.withColumnRenamed("id", "node"), "node")
+    lead = reps.select(F.col("node").alias("component"), F.col("vec").alias("lead"))
     counts = link_counts(placed.join(lead, "component"), least)
-    known = reps.join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(counts, "vec_id", "left")
-    known = known.select(F.col("vec_id").alias("rep"), F.coalesce("n", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    linked = same.select("label", "dim", "print", "rep").join(known, "rep")
-    part = rows.select("vec_id", "label", "dim", "print").join(linked, ["label", "dim", "print"]).select("vec_id", "n_links", "component_id")
+    first = cut(placed.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    placed = placed.select("node", "component").join(first, "component")
+    known = reps.select("node", "label", "dim", "print", "copies", "vec_id").join(placed, "node", "left").join(counts, "node", "left")
+    known = known.select("label", "dim", "print", F.coalesce("n", F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    part = rows.select("vec_id", "label", "dim", "print").join(known, ["label", "dim", "print"]).select("vec_id", "n_links", "component_id")
     rest = absent(vectors)
     out = part.union(rest.select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -30,7 +30,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Binary float64 rows of one dimension as a matrix."""
+def is_single(vectors) -> bool:
+    """Whether the components of the embedding column of a DataFrame are stored in single precision."""
+    return vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+
+
+def packed(x: np.ndarray, single: bool) -> pa.Array:
+    """Rows of a matrix as binary; in single precision where the components came in it, which loses nothing."""
+    x = np.ascontiguousarray(x, np.float32 if single else np.float64)
+    return pa.array([v.tobytes() for v in x], pa.binary())
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Packed rows of one dimension as a float64 matrix."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+    data = b"".join(rows)
+    kind = np.float32 if len(data) == 4 * dim * len(rows) else np.float64
+    return np.frombuffer(data, kind).reshape(len(rows), dim).astype(np.float64)
