@@ -88,9 +88,7 @@ def duckdb_words(path: str) -> Callable[[list[bytes]], list[tuple[bytes, bytes]]
         out: list = [None] * len(words)
         rest = []
         for i, w in enumerate(words):
-            if w in ranks:
-                out[i] = (b"%d" % ranks[w], w)
-            elif len(w) > LONG_WORD:
+            if len(w) > LONG_WORD:
                 ids = contract_long(w, ranks)
                 out[i] = (b" ".join(b"%d" % x for x in ids), b"".join(names[x] for x in ids))
             else:
@@ -138,9 +136,9 @@ def encode_bpe(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", full:
     are token-position rows of one DuckDB query, which joins the merge table, contracts each word's leftmost pair of
     least rank, and repeats until no pair is left; ordered aggregation gives the ids as text. A document's ids are put
     together from its words', and decoded as one sequence through the vocabulary. Words are remembered up to
-    a fixed number, so memory is bounded; nothing is shuffled and a lost task is computed again from its rows.
+    a fixed number of bytes; nothing is shuffled and a lost task is computed again from its rows.
 
-    A null text counts as empty: 0 tokens and the digests of nothing. Special strings are ordinary text. Repeated rows
+    A very long text is encoded whole, in its batch's memory: some ten times its bytes. A null text counts as empty: 0 tokens and the digests of nothing. Special strings are ordinary text. Repeated rows
     are encoded each. An empty table gives no rows. Other columns of `docs` are not read.
     """
     ship(docs.sparkSession)
