@@ -17,8 +17,11 @@ PRIOR, LEAST, MOST = 10.0, 1.0, 1000.0
 SALTS = 16
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-DOMAIN = r"([^.:]+\.(?:co|com|net|org|ac|gov|edu)\.[a-z][a-z]|[^.:]+\.[^.:]+)(?::[0-9]*)?$"
-SUFFIX = r"^[^.]*\.(.*)$"
+#: A domain is the last two labels of a host, three where the middle one of them is a registry's and the last a country's;
+#: its suffix is what follows its first label. The last label holds more than digits: a numeric address is a domain and
+#: suffix by itself, so that it shares its reputation with no other.
+DOMAIN = r"([^.:]+\.(?:co|com|net|org|ac|gov|edu)\.[a-z][a-z]|[^.:]+\.[^.:]*[^.:0-9][^.:]*)(?::[0-9]*)?$"
+SUFFIX = r"^[^.]*\.(.*[^.:0-9][^.:]*)$"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -94,6 +97,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, st
     weight. Each distinct host is judged once; pages join the hosts' table with salted keys, as one host may hold a
     third of the pages.
 
+    A rule's path begins with "/", so a url without a path fits no rule, not even "org/". Urls of any length are read whole.
     A null url, or one without ://, has empty host and path, and is judged as the host "". Repeated rows are judged
     each; a null page_id has no outcome. Empty tables give no rows, or no outcomes. Other columns are not read.
     """

@@ -79,7 +79,8 @@ def pack_best_fit(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id
     Each task packs its own documents, a block of about `block_tokens` ids at a time, so memory is bounded, no row is
     shuffled, and a hot source is no different from any other; at most one sequence a block has more room than half.
 
-    A null text counts as empty: the end id alone. Repeated rows are packed each. A null doc_id stays null. An empty
+    A very long text is encoded whole, in its batch's memory, and its rows are in its task's block. A null text counts as
+    empty: the end id alone. Repeated rows are packed each. A null doc_id stays null. An empty
     table gives no rows. Other columns of `docs` are not read.
     """
     ship(docs.sparkSession)
@@ -108,7 +109,7 @@ def pack_best_fit(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id
         block, total = TaskContext.get().partitionId() << 33, 0
         pieces: list[tuple] = []
         ids: list[bytes] = []
-        for b in pieces_of(batches, "text", remember=True):
+        for b in pieces_of(batches, "text", 1 << 20, remember=True):
             split = [words(x or "") for x in b.column("text").to_pylist()]
             of = known.learn(split).__getitem__
             for doc, parts in zip(b.column("doc_id").to_pylist(), split):

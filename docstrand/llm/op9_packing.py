@@ -43,8 +43,10 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
 
     Each document's ids and its end id are cut into pieces of `most` (a power of two) and then of the powers of two
     that sum to the rest, largest first. A piece is a sequence by itself at offset 0, so no sequence crosses documents
-    and none needs padding; `bucket` is log2 of its length, by which equal lengths are batched. It is one narrow pass
-    without a shuffle; a lost task is computed again from its input rows. sequence_id is unique, not consecutive.
+    and none needs padding; `bucket` is log2 of its length. Each batch of documents (about 1 MB of text) returns its pieces
+    by bucket, the longest first, and write_buckets gives each bucket a folder of its own. It is one narrow pass
+    without a shuffle; a lost task is computed again from its input rows. sequence_id is unique, not consecutive. A very
+    long text is encoded whole, in its batch's memory.
 
     A null text counts as empty: its document is the end id alone. A repeated row or doc_id gives pieces of its own. A
     null doc_id stays null. An empty table gives no rows. Other columns of `docs` are not read.
@@ -56,7 +58,7 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_bytes(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
-        for b in pieces_of(batches, "text", remember=True):
+        for b in pieces_of(batches, "text", 1 << 20, remember=True):
             split = [words(x or "") for x in b.column("text").to_pylist()]
             of = known.learn(split).__getitem__
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -67,6 +69,9 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
                     for to, v in zip(rows, (doc, at, k, ids[4 * at : 4 * (at + k)], n)):
                         to.append(v)
                     at += k
+            # equal lengths together
+            order = sorted(range(len(rows[2])), key=rows[2].__getitem__, reverse=True)
+            rows = tuple([v[i] for i in order] for v in rows)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
@@ -80,5 +85,10 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     )
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """The packed pieces as Parquet, a folder for each bucket, so that a reader batches rows of one length without padding."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
 def op9_power_of_two(docs: DataFrame) -> DataFrame:
     return pack_binary(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
