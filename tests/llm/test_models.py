@@ -86,7 +86,7 @@ def test_quality_edges(spark):
 
 URLS = [
     "http://A.Example.ORG/es/x", "https://example.org/en/12?q#f", "http://notexample.org/es/", "http://org/", "http://example.org", "http://x.com/fr/1", "http://x.com/de/1", "http://x.com/DE/1",
-    None, "no scheme", "", "ftp://host.net:80/p#/de/", "http://bad.net/1", "http://bad.net/2", "http://good.net/1", "http://sub.shop.co.uk/a", "x://y://z/w", "http://?a", "http://Ä.net/ü\nb",
+    None, "no scheme", "", "ftp://host.net:80/p#/de/", "http://bad.net/1", "http://bad.net/2", "http://good.net/1", "http://sub.shop.co.uk/a", "x://y://z/w", "http://?a", "http://Ä.net/ü\nb", "http://long.net/" + "p" * 100_000 + "?" + "q" * 100_000, "http://10.0.0.7/a", "http://11.0.0.7:80/a",
 ]
 
 
@@ -119,9 +119,9 @@ def test_urls(spark):
 
 
 def test_levels(spark):
-    hosts = ["a.b.example.com", "example.com", "com", "", "x.shop.co.uk", "shop.co.uk:8080"]
+    hosts = ["a.b.example.com", "example.com", "com", "", "x.shop.co.uk", "shop.co.uk:8080", "10.0.0.7", "192.168.0.7:80"]
     rows = spark.createDataFrame([(h,) for h in hosts], "host string").withColumns(op4_urls.levels(F.col("host"))).collect()
-    assert [(r.domain, r.suffix) for r in rows] == [("example.com", "com"), ("example.com", "com"), ("com", "com"), ("", ""), ("shop.co.uk", "co.uk"), ("shop.co.uk", "co.uk")]
+    assert [(r.domain, r.suffix) for r in rows] == [("example.com", "com"), ("example.com", "com"), ("com", "com"), ("", ""), ("shop.co.uk", "co.uk"), ("shop.co.uk", "co.uk"), ("10.0.0.7", "10.0.0.7"), ("192.168.0.7:80", "192.168.0.7:80")]
 
 
 def test_pipeline(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 from docstrand.llm.components import components
 from docstrand.llm.op1_ann import hadamard, nearest
 from docstrand.llm.op2_vector_dedup import MISS, near_vectors, pass_chance, passes_for
-from docstrand.llm.op5_minhash import op5_minhash
+from docstrand.llm.op5_minhash import COORDINATES, MATCHES, PREFIX, Members, near_duplicates, op5_minhash
 from pyspark.sql import functions as F
 
 SCHEMA = "text string, doc_id long, component_id string, n_shingles int"
@@ -194,3 +195,70 @@ def test_hadamard():
     assert np.allclose(hadamard(hadamard(x)), x) and np.allclose((hadamard(x) ** 2).sum(1), (x**2).sum(1))
 
 
+
+
+def test_texts_and_repeats_of_one_id(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    a, b, c = ([word() for _ in range(80)] for _ in range(3))
+    text = " ".join
+    rows = [(text(a), 1), (text(b), 1), (text(b[:79] + ["x"]), 5), (text(a[:79] + ["y"]), 3), (text(c), 7), (text(c), 7), (text(c), 9), (text(c[:78] + ["z"]), 7), (text(a), 0)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op5_minhash(spark.createDataFrame([(t, i, "", 0) for t, i in rows], SCHEMA)).collect()}
+    assert got == {(1, 76, 0, False), (1, 76, 1, True), (5, 76, 1, False), (3, 76, 0, False), (7, 76, 7, True), (9, 76, 7, False), (7, 75, 7, True), (0, 76, 0, True)}
+    leads = [(r.doc_id, r.leads) for r in near_duplicates(spark.createDataFrame(rows, "text string, doc_id long")).collect()]
+    assert sum(l for _, l in leads) == 4  # two of the three rows of 7 and c, which are repeats, lead with it
+
+
+def test_repeated_rows_cost_no_comparisons(spark):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(3)]
+    texts[1] = texts[0] + " tail"
+    took = []
+    for n in (1, 3000):
+        rows = spark.createDataFrame([(t, i, "", 0) for i, t in enumerate(texts)], SCHEMA).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("n").repartition(3)
+        began = time.monotonic()
+        got = {(r.doc_id, r.component_id) for r in op5_minhash(rows).collect()}
+        took.append(time.monotonic() - began)
+        assert got == {(0, 0), (1, 0), (2, 2)}
+    assert took[1] < 2 * took[0] + 5
+
+
+def test_collisions_are_counted_exactly():
+    rng = np.random.default_rng(4)
+    n = 60
+    sig = rng.integers(0, 3, (n, COORDINATES)).astype(np.int32)
+    sig[30:] = sig[:30]
+    sig[30:][rng.random((30, COORDINATES)) < 0.3] = 7
+    coords = [rng.permutation(COORDINATES).astype(np.int8) for _ in range(1)] * n
+    t = pa.table({
+        "node": pa.array(range(n), pa.int64()), "component": pa.array(range(n), pa.int64()), "side": pa.array([0] * n, pa.int32()), "rest": [True] * n, "at": pa.array([0] * n, pa.int8()),
+        "sig": pa.array(list(sig), pa.list_(pa.int32())), "coords": pa.array(coords, pa.list_(pa.int8())), "prefix": pa.array([PREFIX] * n, pa.int32()),
+    })
+    both = pa.concat_tables([t, t.set_column(2, "side", pa.array([1] * n, pa.int32()))])
+    got = {(min(a % n, b % n), max(a % n, b % n)): m for x, y, z in Members(both).collisions(False) for a, b, m in zip(x, y, z)}
+    want = {(a, b): m for b in range(n) for a in range(b) if (m := int((sig[a] == sig[b]).sum())) >= MATCHES}
+    assert got == want and len(want) > 20
+
+
+def test_one_vector_id_under_labels_and_dimensions(spark):
+    x, y = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0]
+    rows = [(0, x, 1, "", ""), (1, x, 1, "", ""), (0, y, 3, "", ""), (1, [0.0, 1.0, 0.0], 4, "", ""), (0, [1.0, 0.0], 1, "", ""), (0, [1.0, 0.0], 8, "", ""), (1, [1.0, 0.05, 0.0], 0, "", "")]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 0, False), (1, 1, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 0, 4, True), (8, 1, 1, False)]
+
+
+def test_search_in_few_dimensions_and_with_repeated_ids(spark):
+    for dim in (1, 2, 3):
+        rng = np.random.default_rng(dim)
+        x = rng.standard_normal((60, dim)).astype(np.float32)
+        rows = [(0, v.tolist(), i, "", "") for i, v in enumerate(x)]
+        got = {}
+        for r in nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        y = x.astype(float)
+        for q in (0, 20, 40):
+            assert [(i, s) for _, i, s in sorted(got[q])] == [(j, s) for s, j in sorted((((y[q] * y[j]).sum(), j) for j in range(60) if j != q), key=lambda p: (-p[0], p[1]))[:5]]
+    rows += [(0, [9.0, 9.0, 9.0], 20, "", ""), (0, [-9.0, 0.0, 0.0], 20, "", ""), (0, [1.0, 1.0], 21, "", "")]
+    several = [sorted(map(repr, nearest(spark.createDataFrame(rows, VECTORS).repartition(n), F.col("vec_id") % 20 == 0, k=5).collect())) for n in (1, 7)]
+    assert several[0] == several[1]
+    assert nearest(spark.createDataFrame([(0, [1e300, 1e300], 0, "", ""), (0, [1e300, 1e300], 1, "", "")], VECTORS.replace("array<float>", "array<double>")), F.lit(True)).count() == 2

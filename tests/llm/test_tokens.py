@@ -11,9 +11,12 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from docstrand.llm.op3_bpe import assemble, contract_long, encode_bpe, load_ranks, op3_bpe, token_bytes
-from docstrand.llm.op6_token_counts import op6_token_counts
+from docstrand.llm import hashing
+from docstrand.llm.op6_token_counts import op6_token_counts, single_pieces
 from docstrand.llm.op7_bestfit import best_fit, op7_best_fit, pack_best_fit, write_packed
-from docstrand.llm.op9_packing import binary_lengths, op9_power_of_two, pack_binary
+from docstrand.llm.op9_packing import binary_lengths, op9_power_of_two, pack_binary, write_buckets
+from docstrand.llm.pieces import Memory
+from pyspark.sql import functions as F
 
 TEXTS = [
     None, "", " ", "\n\n  \t", "Hello, world's  best!", "it's we'll I'M 'S don't", "naïve Éclair ß Straße 12345 ½ ²", "日本語のテキスト 数字１２３", "emoji 🙂🙃 é ñ",
@@ -148,3 +151,43 @@ def test_best_fit_is_best_fit_decreasing():
 def test_ranks_file():
     ranks = load_ranks(P.path("byte_bpe_50k.tiktoken"))
     assert len(ranks) == 50256 and base64.b64encode(b"the") and ranks[b"the"]
+
+
+def test_counts_join_by_a_shuffle_too(docs, monkeypatch):
+    want = sorted(map(repr, op6_token_counts(docs).collect()))
+    monkeypatch.setattr("docstrand.llm.op6_token_counts.BROADCAST", -1)
+    assert sorted(map(repr, op6_token_counts(docs).collect())) == want
+
+
+def test_vocabulary_entries_are_one_piece():
+    path = P.path("byte_bpe_50k.json")
+    single, tok = single_pieces(path), Tokenizer.from_file(path)
+    assert len(single) > 40_000 and {" the", "the", "!"} <= single and "<|endoftext|>" not in single
+    assert all(len(tok.encode(x, add_special_tokens=False).ids) == 1 for x in sorted(single)[::97])
+
+
+def test_buckets_are_folders_of_one_length(spark, docs, tmp_path):
+    write_buckets(pack_binary(docs), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == pack_binary(docs).count()
+    for r in back.groupBy("bucket").agg(F.min("length").alias("low"), F.max("length").alias("high")).collect():
+        assert r.low == r.high == 2**r.bucket
+    lengths = [r.length for r in pack_binary(docs.coalesce(1)).collect()]
+    assert lengths[:50] == sorted(lengths[:50], reverse=True)
+
+
+def test_memory_is_bounded_by_bytes():
+    m = Memory(lambda items: [x.encode() for x in items], most=10_000)
+    for i in range(50):
+        got = m.learn([[f"w{i}-{k}" for k in range(20)], ["long " * 100 + str(i)]])
+        assert got[f"w{i}-3"] == f"w{i}-3".encode() and got["long " * 100 + str(i)]
+        assert m.size < 15_000 and sum(len(x) > 64 for x in m.known) == 1
+
+
+def test_words_are_hashed_alike_in_any_window(monkeypatch):
+    texts = [None, "", "a", "A b\tc", "é" * 10, " ".join("w" * (i % 40 + 1) + str(i) for i in range(300)), "x" * 5000 + " y " + "z" * 70]
+    want = hashing.words(texts)
+    for size in (64, 1000):
+        monkeypatch.setattr(hashing, "WINDOW", size)
+        monkeypatch.setattr(hashing, "_POWERS", [])
+        assert all((a == b).all() for a, b in zip(hashing.words(texts), want))
