@@ -51,7 +51,7 @@ class Memory:
 
     LONGEST = 64
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 32 << 20):
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 16 << 20):
         self.compute, self.most, self.known, self.size, self.brief = compute, most, {}, 0, []
 
     def learn(self, lists: Iterable[list[str]]) -> dict:
@@ -78,9 +78,9 @@ class Memory:
 _MEMORIES: dict[tuple, Memory] = {}
 
 
-def memory(key: tuple, make: Callable[[], Callable]) -> Memory:
+def memory(key: tuple, make: Callable[[], Callable], most: int = 16 << 20) -> Memory:
     if key not in _MEMORIES:
-        _MEMORIES[key] = Memory(make())
+        _MEMORIES[key] = Memory(make(), most)
     return _MEMORIES[key]
 
 
