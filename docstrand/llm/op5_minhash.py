@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrand.llm.common import cut, give_back, pieces_of, ship
+from docstrand.llm.common import cut, give_back, parallelism, pieces_of, ship
 from docstrand.llm.components import components
 from docstrand.llm.hashing import shingles, words
 
@@ -156,7 +156,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words_in_a_row
             yield x.select(["node", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    dealt = rows.repartition("b", "block").sortWithinPartitions("b", "block", "side").select("b", "side", "node", "members")
+    dealt = rows.repartition(parallelism(docs.sparkSession), "b", "block").sortWithinPartitions("b", "block", "side").select("b", "side", "node", "members")
     return dealt.mapInArrow(confirm, "node long, b long").toDF("a", "b")
 
 
@@ -309,9 +309,9 @@ def list_links(now: DataFrame, mixed: DataFrame, places: DataFrame, reps: DataFr
     narrow = left.unionByName(right).join(places.select("node", "sig", "coords", "prefix"), "node").select(*_KEYS, "side", "node", "at", "component", "rest", "sig", "coords", "prefix")
     schema = "list long, i int, j int, side int, node long, at tinyint, component long, rest boolean, sig array<int>, coords array<tinyint>, prefix int"
     order = (*_KEYS, "side", "node")
-    found = cut(narrow.repartition(*_KEYS).sortWithinPartitions(*order).mapInArrow(lambda x: hopeful(x, first_only), schema))
+    found = cut(narrow.repartition(parallelism(docs.sparkSession), *_KEYS).sortWithinPartitions(*order).mapInArrow(lambda x: hopeful(x, first_only), schema))
     full = with_sets(found, 320, reps, docs, words_in_a_row)
-    return full.repartition(*_KEYS).sortWithinPartitions(*order).mapInArrow(lambda x: united(x, percent, first_only), "a long, b long")
+    return full.repartition(parallelism(docs.sparkSession), *_KEYS).sortWithinPartitions(*order).mapInArrow(lambda x: united(x, percent, first_only), "a long, b long")
 
 
 def mixed_lists(now: DataFrame, one_each: bool) -> DataFrame:
