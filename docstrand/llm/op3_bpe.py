@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrand.llm.common import pieces_of, ship
-from docstrand.llm.pieces import ByteLevel, memory, vocabulary_path
+from docstrand.llm.pieces import REMEMBERED, ByteLevel, memory, vocabulary_path
 
 #: Words of more bytes are contracted by a heap, by the same rule: a query's rounds would each copy the word.
 LONG_WORD = 256
-#: Bytes of words and their ids that a worker remembers; a query for a word costs far more than remembering it.
-REMEMBERED = 64 << 20
 
 #: Each round joins the position rows of every unfinished word to the merge table and contracts each word's leftmost
 #: pair of least rank. A word that has no pair left drops out, so its last row holds its ids.

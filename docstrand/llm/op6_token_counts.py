@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrand.llm.common import pieces_of, ship
-from docstrand.llm.pieces import BYTE_LEVEL, PLAIN, ByteLevel, library_ids, memory, tokenizer, vocabulary_path
+from docstrand.llm.pieces import BYTE_LEVEL, PLAIN, REMEMBERED, ByteLevel, library_ids, memory, tokenizer, vocabulary_path
 
 
 class Splitter:
@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
             ids = library_ids(vocabulary_path(vocabulary), BYTE_LEVEL, False)
             return lambda items: [len(x) for x in ids(items)]
 
-        known, split = memory(("counts", vocabulary), make), Splitter(vocabulary_path(vocabulary))
+        known, split = memory(("counts", vocabulary), make, REMEMBERED), Splitter(vocabulary_path(vocabulary))
         for b in pieces_of(batches, "text", remember=True):
             texts = [x or "" for x in b.column("text").to_pylist()]
             frequencies = [split(x) for x in texts]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docstrand.llm.common import pieces_of, ship
 from docstrand.llm.op9_packing import word_bytes
-from docstrand.llm.pieces import words
+from docstrand.llm.pieces import REMEMBERED, words
 
 SCHEMA = (
     "block long, row int, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
@@ -104,7 +104,7 @@ def pack_best_fit(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known = word_bytes(vocabulary)
+        known = word_bytes(vocabulary, REMEMBERED)
         end = np.array([end_id], "<u4").tobytes()
         block, total = TaskContext.get().partitionId() << 33, 0
         pieces: list[tuple] = []

@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrand.llm.common import pieces_of, ship
-from docstrand.llm.pieces import WORD_LEVEL, library_ids, memory, vocabulary_path, words
+from docstrand.llm.pieces import REMEMBERED, WORD_LEVEL, library_ids, memory, vocabulary_path, words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
-def word_bytes(vocabulary: str):
+def word_bytes(vocabulary: str, remembered: int):
     """Remembered ids of words as little-endian 32-bit bytes, by the lower-casing word vocabulary."""
 
     def make():
         ids = library_ids(vocabulary_path(vocabulary), WORD_LEVEL, True)
         return lambda items: [np.array(x, "<u4").tobytes() for x in ids(items)]
 
-    return memory(("word", vocabulary), make)
+    return memory(("word", vocabulary), make, remembered)
 
 
 def binary_lengths(n: int, most: int) -> list[int]:
@@ -37,7 +37,7 @@ def binary_lengths(n: int, most: int) -> list[int]:
     return out
 
 
-def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, most: int = 4096) -> DataFrame:
+def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, most: int = 4096, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket, sequence_id,
     offset.
 
@@ -46,7 +46,7 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     and none needs padding; `bucket` is log2 of its length. Each batch of documents (about 1 MB of text) returns its pieces
     by bucket, the longest first, and write_buckets gives each bucket a folder of its own. It is one narrow pass
     without a shuffle; a lost task is computed again from its input rows. sequence_id is unique, not consecutive. A very
-    long text is encoded whole, in its batch's memory.
+    long text is encoded whole, in its batch's memory. A worker remembers what words encode to, `remembered` bytes of it.
 
     A null text counts as empty: its document is the end id alone. A repeated row or doc_id gives pieces of its own. A
     null doc_id stays null. An empty table gives no rows. Other columns of `docs` are not read.
@@ -56,7 +56,7 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_bytes(vocabulary)
+        known = word_bytes(vocabulary, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for b in pieces_of(batches, "text", 1 << 20, remember=True):
             split = [words(x or "") for x in b.column("text").to_pylist()]

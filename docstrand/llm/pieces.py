@@ -45,13 +45,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+#: Bytes of pieces that a worker remembers where nothing else is said.
+REMEMBERED = 160 << 20
+
+
 class Memory:
     """Results by piece, of about `most` bytes; beyond, it starts afresh. It outlives a task in a reused worker. What a
     piece of more than LONGEST characters gives is kept for its batch only, as such pieces seldom come again."""
 
     LONGEST = 64
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 16 << 20):
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int):
         self.compute, self.most, self.known, self.size, self.brief = compute, most, {}, 0, []
 
     def learn(self, lists: Iterable[list[str]]) -> dict:
@@ -64,21 +68,20 @@ class Memory:
         new: set[str] = set()
         for x in lists:
             new.update(x)
-        new.difference_update(self.known)
-        fresh = sorted(new)
-        for x, got in zip(fresh, self.compute(fresh)):
-            self.known[x] = got
-            if len(x) > self.LONGEST:
-                self.brief.append(x)
-            else:
-                self.size += getsizeof(x) + getsizeof(got) + 100  # what a dictionary takes for an entry
+        fresh = sorted(x for x in new if x not in self.known)
+        got = list(self.compute(fresh))
+        self.known.update(zip(fresh, got))
+        self.brief = [x for x in fresh if len(x) > self.LONGEST]
+        self.size += sum(map(getsizeof, fresh)) + sum(map(getsizeof, got)) + 100 * len(fresh)  # what a dictionary takes for an entry
+        self.size -= sum(getsizeof(x) + getsizeof(self.known[x]) + 100 for x in self.brief)
         return self.known
 
 
 _MEMORIES: dict[tuple, Memory] = {}
 
 
-def memory(key: tuple, make: Callable[[], Callable], most: int = 16 << 20) -> Memory:
+def memory(key: tuple, make: Callable[[], Callable], most: int) -> Memory:
+    key = (*key, most)
     if key not in _MEMORIES:
         _MEMORIES[key] = Memory(make(), most)
     return _MEMORIES[key]
