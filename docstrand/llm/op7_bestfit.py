@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +90,10 @@ def pack_best_fit(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id
         cols: list[list] = [[] for _ in range(9)]
         pad = np.array([pad_id], "<u4").tobytes()
         for k, members in enumerate(best_fit([p[2] for p in pieces], most)):
-            ends = np.cumsum([pieces[i][2] for i in members])
-            n = int(ends[-1])
+            ends = list(accumulate((pieces[i][2] for i in members), initial=0))
+            n = ends[-1]
             row = (
-                block, k, b"".join(ids[i] for i in members) + pad * (most - n), n, np.concatenate([[0], ends]), np.concatenate([[0], ends[:-1]]),
+                block, k, b"".join([*(ids[i] for i in members), pad * (most - n)]), n, ends, ends[:-1],
                 [pieces[i][0] for i in members], [pieces[i][1] for i in members], [pieces[i][3] for i in members],
             )
             for to, v in zip(cols, row):
