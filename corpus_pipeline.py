@@ -18,8 +18,9 @@ from docstrand.sources.database import Files
 #: A text whose profile is this far from every language's is none of them.
 LANGUAGE_LEAST = 0.2
 QUALITY_LEAST = 0.5
-#: Bytes of words that a packing worker remembers: the stages before have filled the executors' heaps.
-REMEMBERED = 16 << 20
+#: Bytes of words that a packing worker remembers, and of text that it packs at once: the stages before have filled the
+#: executors' heaps.
+REMEMBERED, PACKED = 16 << 20, 1 << 18
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces with their token ids, in the order of their lengths within each batch, and a digest of each. A
     null text is its end id alone; a null doc_id stays null; repeated rows are packed each; a long text is cut into pieces
     of a batch's memory. Other columns are not read. An empty table gives no rows."""
-    return pack_binary(docs, remembered=REMEMBERED).withColumn("ids_crc32", F.crc32("ids"))
+    return pack_binary(docs, remembered=REMEMBERED, batch=PACKED).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicate", near_duplicate), ("packing", packing)]

@@ -52,6 +52,9 @@ def components(links: DataFrame) -> DataFrame:
     neighbours and then its smaller ones at the smallest of them, a grouped minimum and a join each, so a hub's links
     are split over tasks, and reduces again; a round at least halves the trees' depth. What fits one task's memory is
     united there, in one pass. Each round is written to the shared checkpoint folder.
+
+    Links that Python makes must be cut before: a task that makes links and reduces them keeps two Python workers, and an
+    executor keeps them all, with what each remembers, for the stages that follow.
     """
     edges, before = reduced(links), None
     while True:

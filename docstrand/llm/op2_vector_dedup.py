@@ -151,7 +151,7 @@ def sorted_links(reps: DataFrame, passes: range, window: int, least: float) -> D
     # the order within a border's side is that of its partition
     found = cut(ranged.select("pass", "label", "dim", "node", "vec").mapInArrow(run, schema))
     edges = found.where("border is not null").select("border", "late", "pass", "label", "dim", "node", "vec")
-    return found.where("border is null").select("a", "b").union(edges.groupBy("border").applyInArrow(across, "a long, b long"))
+    return found.where("border is null").select("a", "b").union(cut(edges.groupBy("border").applyInArrow(across, "a long, b long")))
 
 
 def link_counts(members: DataFrame, least: float) -> DataFrame:

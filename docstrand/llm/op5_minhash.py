@@ -360,13 +360,14 @@ def near_duplicates(docs: DataFrame, words_in_a_row: int = 5, percent: int = 75)
     posted = cut(posts.join(lists, "list").select("list", "at", "node", "first"))
 
     star = posted.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    found = components(confirmed(cut(matching(star, places)), reps, docs, words_in_a_row, percent))
+    # cut, as components' own Python would else run beside it in each task
+    found = components(cut(confirmed(cut(matching(star, places)), reps, docs, words_in_a_row, percent)))
     sized = posted.join(places.select("node", "n_shingles"), "node")
     for first_only in (False, True):
         now = sized.join(found, sized["node"] == found["id"], "left").select("list", "at", "node", "first", "n_shingles", F.coalesce("component", "node").alias("component"))
         now = cut(now)
         more = list_links(now, mixed_lists(now, not first_only), places, reps, docs, words_in_a_row, percent, first_only)
-        found = components(more.union(found.select("id", "component")))
+        found = components(cut(more).union(found.select("id", "component")))
     return labelled(rows, reps, found)
 
 

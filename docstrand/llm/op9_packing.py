@@ -13,6 +13,8 @@ from docstrand.llm.common import pieces_of, ship
 from docstrand.llm.pieces import REMEMBERED, WORD_LEVEL, library_ids, memory, vocabulary_path, words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
+#: Bytes of text that a worker packs at once.
+BATCH = 1 << 20
 
 
 def word_bytes(vocabulary: str, remembered: int):
@@ -37,13 +39,13 @@ def binary_lengths(n: int, most: int) -> list[int]:
     return out
 
 
-def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, most: int = 4096, remembered: int = REMEMBERED) -> DataFrame:
+def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, most: int = 4096, remembered: int = REMEMBERED, batch: int = BATCH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket, sequence_id,
     offset.
 
     Each document's ids and its end id are cut into pieces of `most` (a power of two) and then of the powers of two
     that sum to the rest, largest first. A piece is a sequence by itself at offset 0, so no sequence crosses documents
-    and none needs padding; `bucket` is log2 of its length. Each batch of documents (about 1 MB of text) returns its pieces
+    and none needs padding; `bucket` is log2 of its length. Each batch of documents (about `batch` bytes of text) returns its pieces
     by bucket, the longest first, and write_buckets gives each bucket a folder of its own. It is one narrow pass
     without a shuffle; a lost task is computed again from its input rows. sequence_id is unique, not consecutive. A very
     long text is encoded whole, in its batch's memory. A worker remembers what words encode to, `remembered` bytes of it.
@@ -58,7 +60,7 @@ def pack_binary(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_bytes(vocabulary, remembered)
         end = np.array([end_id], "<u4").tobytes()
-        for b in pieces_of(batches, "text", 1 << 20, remember=True):
+        for b in pieces_of(batches, "text", batch, remember=True):
             split = [words(x or "") for x in b.column("text").to_pylist()]
             of = known.learn(split).__getitem__
             rows: tuple[list, ...] = ([], [], [], [], [])

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from docstrand.llm import components as components_module
 from docstrand.llm.components import components
 from docstrand.llm.op1_ann import hadamard, nearest
 from docstrand.llm.op2_vector_dedup import MISS, near_vectors, pass_chance, passes_for
@@ -113,6 +114,24 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
+def test_links_are_made_and_reduced_by_tasks_of_their_own(spark, monkeypatch):
+    """A task that does both has two Python workers, and an executor twice as many as it has cores."""
+    plans, forest = [], components_module.forest
+
+    def seen(links, *rest, **more):
+        plans.append(links._jdf.queryExecution().toString())
+        return forest(links, *rest, **more)
+
+    monkeypatch.setattr(components_module, "forest", seen)
+    texts = [" ".join(f"w{i // 3}x{k}" for k in range(40)) + " end" * (i % 3) for i in range(12)]
+    docs = spark.createDataFrame([(t, i, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {0, 3, 6, 9}
+    assert len(plans) >= 6
+    vectors = spark.createDataFrame([(i, [1.0, i / 100], 1) for i in range(4)], "vec_id long, embedding array<double>, label int")
+    assert {(r.component_id, r.n_links) for r in near_vectors(vectors).collect()} == {(0, 3)}
+    assert len(plans) >= 8 and not [p for p in plans if "InArrow" in p]
+
+
 def test_vector_links_are_exact_here(spark):
     rows = vectors()
     order = rows[:]

@@ -104,6 +104,11 @@ def test_binary_packing_round_trip(docs, empty):
     assert binary_lengths(13, 4) == [4, 4, 4, 1] and binary_lengths(0, 4) == [] and binary_lengths(4096, 4096) == [4096]
 
 
+def test_small_batches_are_packed_alike(docs):
+    few, many = (sorted((r.doc_id is None, r.doc_id or 0, r.start, bytes(r.ids), r.doc_tokens) for r in pack_binary(docs, batch=b).collect()) for b in (1, 1 << 20))
+    assert few == many and len({r.sequence_id for r in pack_binary(docs, batch=1).collect()}) == len(many)
+
+
 def test_best_fit_packing_round_trip(docs, empty):
     rows, found = pack_best_fit(docs, most=128, block_tokens=500).collect(), {}
     for r in rows:
